@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, mixing
+from . import decontaminate, license_scan, line_dedup, mixing, simhash
 from .common import Query
 
 QUERIES: dict[str, Query] = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
 
