@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, mixing, simhash
+from . import decontaminate, license_scan, line_dedup, mixing, quality, simhash
 from .common import Query
 
 QUERIES: dict[str, Query] = {
@@ -11,6 +11,7 @@ QUERIES: dict[str, Query] = {
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_quality": quality.op9_quality,
 }
 
 SQL: dict[str, str] = {
