@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, small, table
 
 RATIO, LEAST_PAGES = 0.1, 10
+#: Hosts whose lists may be broadcast; with more, the documents are shuffled to their host's list instead.
+MOST_BROADCAST = 20_000
 
 
 def line_key(line):
@@ -41,7 +43,10 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     reserved names.
     """
     bad = boilerplate(docs, host, text, ratio, least_pages).select(F.col("t_host").alias("__b_host"), F.col("keys").alias("__b_keys"))
-    # One row per host: AQE broadcasts it where small, and splits the partitions of a hot host where not.
+    # One row per host with boilerplate. Counted first, so that texts stay where they are unless there are too many hosts;
+    # then AQE splits the partitions of a hot host.
+    bad = cut(bad)
+    bad = F.broadcast(bad) if small(bad, MOST_BROADCAST) else bad
     out = docs.join(bad, F.col(host).eqNullSafe(F.col("__b_host")), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda x: (x == F.lit("")) | ~F.array_contains(F.col("__b_keys"), line_key(x)))
