@@ -36,7 +36,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return per.select("source", "source_size", "n_rows", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", bucket_rows: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", bucket_rows: int = 5_000) -> DataFrame:
     """(doc_id, text, source) -> doc_id, source, size, source_size, target, taken; one row per input row.
 
     A source's documents are ordered by a hash key of the id. It takes whole epochs while its budget (the target
