@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, mixing, quality, simhash
+from . import decontaminate, license_scan, line_dedup, mixing, quality, simhash, toxicity
 from .common import Query
 
 QUERIES: dict[str, Query] = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
