@@ -103,11 +103,12 @@ def features(events: np.ndarray) -> np.ndarray:
     return np.hstack([np.log1p(events), total >= 1, total >= 2, total >= 3, plain >= 1]).astype(float)
 
 
-def learn_lexicon(sample: DataFrame, shares: dict[int, int], least: int = 4, precision: float = 0.9) -> tuple[frozenset[str], frozenset[str]]:
+def learn_lexicon(sample: DataFrame, shares: dict[int, int], least: int = 5, share: float = 0.004, precision: float = 0.9) -> tuple[frozenset[str], frozenset[str]]:
     """Words and word beginnings that stand in toxic documents of the sample and hardly in others.
 
     Document counts are made in Spark over the bounded sample; at most MOST_LEXICON keys come back, those of most support.
-    A key counts if at least least toxic documents hold it and the share of toxic ones, with the sample weighted back to
+    A key counts if toxic documents hold it, at least least of them and a share of all, so that chance finds in a large
+    vocabulary stay out, and if the share of toxic ones, with the sample weighted back to
     the labels' own shares, is precision or more. A stem stands for words not seen in learning; it must have several words.
     """
     words = sample.select("doc_id", "y", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w"))
@@ -116,13 +117,14 @@ def learn_lexicon(sample: DataFrame, shares: dict[int, int], least: int = 4, pre
     if not n.get(0) or not n.get(1):
         return frozenset(), frozenset()
     per_word = words.groupBy("w").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    least = max(least, int(np.ceil(share * n[1])))
     ratio = (shares[0] / n[0]) / (shares[1] / n[1])
     good = (F.col("pos") >= least) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg") * F.lit(ratio) + 0.5))
     lexicon = [r.w for r in per_word.where(good).orderBy(F.desc("pos"), "w").limit(MOST_LEXICON).collect()]
     keys = words.select("doc_id", "y", "w", F.explode(F.array(*[F.lit(k) for k in STEMS])).alias("k")).where(F.length("w") >= F.col("k"))
     keys = keys.select("doc_id", "y", "w", F.substring("w", F.lit(1), F.col("k")).alias("stem"))
     stems = keys.groupBy("stem").agg(F.countDistinct(F.when(F.col("y") == 1, F.col("doc_id"))).alias("pos"), F.countDistinct(F.when(F.col("y") == 0, F.col("doc_id"))).alias("neg"), F.countDistinct("w").alias("n_w"))
-    sure = (F.col("n_w") >= 3) & (F.col("pos") >= 3 * least) & (F.col("pos") >= 0.97 * (F.col("pos") + F.col("neg") * F.lit(ratio) + 0.2))
+    sure = (F.col("n_w") >= 3) & (F.col("pos") >= 2 * least) & (F.col("pos") >= 0.97 * (F.col("pos") + F.col("neg") * F.lit(ratio) + 0.2))
     found = [r.stem for r in stems.where(sure).orderBy(F.desc("pos"), "stem").limit(MOST_LEXICON).collect()]
     return frozenset(lexicon), frozenset(found)
 
