@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, mixing, quality, simhash, substring_dedup, toxicity
+from . import ann, decontaminate, license_scan, line_dedup, mixing, quality, simhash, substring_dedup, toxicity
 from .common import Query
 
 QUERIES: dict[str, Query] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Query] = {
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_quality": quality.op9_quality,
+    "op10_nearest": ann.op10_nearest,
 }
 
 SQL: dict[str, str] = {
