@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table
+from .common import cut, small, table
 
 WIDTH, SHARE, MOST_BROADCAST = 5, 0.8, 200_000
 
@@ -112,7 +112,8 @@ def _leaks(docs: DataFrame, items: DataFrame, width: int, share: float, most_bro
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """docs without the rows that hold a test item; all columns as they are. Rows without id are judged together."""
-    bad = leaks(docs, items, **how).select(F.col("doc_id").alias("__leak_id")).distinct()
+    bad = cut(leaks(docs, items, **how).select(F.col("doc_id").alias("__leak_id")).distinct())
+    bad = F.broadcast(bad) if small(bad, 5 * MOST_BROADCAST) else bad
     key = how.get("doc_id", "doc_id")
     return docs.join(bad, F.col(key).eqNullSafe(F.col("__leak_id")), "left_anti")
 

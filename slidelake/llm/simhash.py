@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small, table
 from .components import components
 
 WIDTH, RADIUS, SEED = 3, 2, 42
 SHARD, PER_SHARD, MOST_SAMPLE, LEAF = 16_384, 64, 1 << 20, 192
+#: Dropped rows whose keys may be broadcast (16 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 #: Bits of each byte value, least significant first.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -231,5 +233,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """docs with one document of each group of near-duplicates, that of the smallest id; all columns as they are.
+
+    Rows are told apart by id and fingerprint. Of rows equal in both one stays. Rows with a null id stay only if their
+    group has no id at all, one for each fingerprint.
+    """
+    at, kind = docs.columns.index(text), docs.schema
+    groups = cut(near_duplicates(docs, doc_id, text, width, radius))
+    fp = F.conv("fingerprint", 16, -10).cast("long")
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__g_id"), fp.alias("__g_fp")).distinct()
+    twice = groups.groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = fingerprints_of(b.column(at).cast(pa.binary()).to_pylist(), width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*b.schema.names, "__fp"])
+
+    keyed = docs.mapInArrow(run, type(kind)([*kind.fields, *docs.sparkSession.range(0).select(F.col("id").alias("__fp")).schema.fields]))
+    gone = F.broadcast(gone) if small(gone, MOST_BROADCAST) else gone
+    out = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("__g_id")) & (F.col("__fp") == F.col("__g_fp")), "left_anti")
+    if twice:
+        out = out.dropDuplicates([doc_id, "__fp"])
+    return out.select(*docs.columns)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
