@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import cut, table
+from .bloom import bloom_of, sift
+from .common import table, written
 
 SIZE, GRAM, CHUNK = 35, 6, 3_000_000
 #: Distinct segments of one anchor that one automaton holds; an anchor with more is settled window by window.
@@ -139,20 +140,31 @@ def _settle(rows: list[tuple[int, int, bytes]], size: int) -> Iterator[tuple[int
             yield d, found
 
 
+def near(docs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """docs of (row, text) whose row may be among keys, and the surely others. Texts are shuffled for the former only."""
+    keys = keys.select(F.xxhash64(key).alias("h"))
+    bloom = bloom_of(keys, keys.count())
+    keyed = docs.withColumn("h", F.xxhash64("row"))
+    return sift(keyed, "h", bloom).drop("h"), sift(keyed, "h", bloom, inside=False).drop("h")
+
+
 def repeats(docs: DataFrame, size: int = SIZE, most_in_shard: int = MOST_IN_SHARD) -> DataFrame:
     """(row, at, n): runs of windows (first window, number) of (row, text) whose words also start elsewhere."""
-    occ = cut(segment_rows(docs, size))
+    occ = written(segment_rows(docs, size))
     # Equal segments are combined before the shuffle, so a passage that a third of all documents hold is one row per task.
-    kinds = occ.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at", "n")).alias("one"))
+    kinds = occ.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("times"))
     per = kinds.groupBy("anchor").agg(F.sum("times").alias("all_times"), F.count(F.lit(1)).alias("n_kinds")).where("all_times > 1").select(F.col("anchor").alias("p_anchor"), "n_kinds")
-    kinds = cut(kinds.join(per, F.col("anchor") == F.col("p_anchor")).drop("p_anchor"))
-    whole = kinds.where("times > 1").select(F.col("anchor").alias("w_anchor"), F.col("digest").alias("w_digest"))
-    settled = occ.join(whole, (F.col("anchor") == F.col("w_anchor")) & (F.col("digest") == F.col("w_digest")), "left_semi").select("row", "at", "n")
-    # Segments that differ: their words are fetched once per kind, from one of the texts that hold it.
-    open_ = kinds.where("n_kinds > 1")
-    asks = open_.select(F.col("one.row").alias("a_row"), F.struct(F.col("one.at").alias("at"), F.col("one.n").alias("n"), "anchor", "digest", "times", (F.col("n_kinds") > most_in_shard).cast("int").alias("hot")).alias("ask"))
-    asks = asks.groupBy("a_row").agg(F.collect_list("ask").alias("asks"))  # at most one ask per segment of a text
-    asked = docs.join(asks, F.col("row") == F.col("a_row")).select("text", "asks")
+    kinds = kinds.join(per, F.col("anchor") == F.col("p_anchor")).select(F.col("anchor").alias("k_anchor"), F.col("digest").alias("k_digest"), "times", "n_kinds")
+    # Unique on the kinds' side: AQE splits an anchor that very many rows hold.
+    met = written(occ.join(kinds, (F.col("anchor") == F.col("k_anchor")) & (F.col("digest") == F.col("k_digest"))).select("row", "at", "n", "anchor", "digest", "times", "n_kinds"))
+    settled = met.where("times > 1").select("row", "at", "n")
+    # Segments that differ from others of their anchor: the words are fetched once per kind, from one text that holds it.
+    open_ = met.where("n_kinds > 1")
+    single = open_.where("times = 1").select("anchor", "digest", "times", "n_kinds", F.struct("row", "at", "n").alias("one"))
+    more = open_.where("times > 1").groupBy("anchor", "digest", "times", "n_kinds").agg(F.min(F.struct("row", "at", "n")).alias("one"))
+    asks = single.unionByName(more).select(F.col("one.row").alias("a_row"), F.struct(F.col("one.at").alias("at"), F.col("one.n").alias("n"), "anchor", "digest", "times", (F.col("n_kinds") > most_in_shard).cast("int").alias("hot")).alias("ask"))
+    asks = written(asks.groupBy("a_row").agg(F.collect_list("ask").alias("asks")))  # at most one ask per segment of a text
+    asked = near(docs, asks, "a_row")[0].join(asks, F.col("row") == F.col("a_row")).select("text", "asks")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +176,10 @@ def repeats(docs: DataFrame, size: int = SIZE, most_in_shard: int = MOST_IN_SHAR
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["anchor", "digest", "times", "hot", "words"])
 
-    fetched = cut(asked.mapInArrow(fetch, "anchor long, digest long, times long, hot int, words binary"))
+    fetched = asked.mapInArrow(fetch, "anchor long, digest long, times long, hot int, words binary")
+    any_hot = bool(met.where(F.col("n_kinds") > most_in_shard).limit(1).count())
+    if any_hot:
+        fetched = written(fetched)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(anchor: int, rows: list) -> Iterator[pa.RecordBatch]:
@@ -197,13 +212,16 @@ def repeats(docs: DataFrame, size: int = SIZE, most_in_shard: int = MOST_IN_SHAR
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["anchor", "digest", "times", "start", "window"])
 
+    parts = starts
     # Anchors with more kinds than an automaton may hold: the same answer from counted windows, spread over tasks.
     hot = fetched.where("hot = 1").select("anchor", "digest", "times", "words").mapInArrow(windows, "anchor long, digest long, times long, start int, window binary")
     sums = hot.groupBy("anchor", "window").agg(F.sum("times").alias("n")).where("n > 1").select(F.col("anchor").alias("h_anchor"), F.col("window").alias("h_window"))
     hot = hot.join(sums, (F.col("anchor") == F.col("h_anchor")) & (F.col("window") == F.col("h_window")), "left_semi").groupBy("anchor", "digest").agg(F.collect_list("start").alias("starts"))
-    parts = starts.unionByName(hot).select(F.col("anchor").alias("s_anchor"), F.col("digest").alias("s_digest"), "starts")
+    if any_hot:
+        parts = parts.unionByName(hot)
+    parts = parts.select(F.col("anchor").alias("s_anchor"), F.col("digest").alias("s_digest"), "starts")
     # A kind that occurs twice is settled above; the others occur once, at the place that was asked for.
-    once = open_.where("times = 1").join(parts, (F.col("anchor") == F.col("s_anchor")) & (F.col("digest") == F.col("s_digest")))
+    once = single.join(parts, (F.col("anchor") == F.col("s_anchor")) & (F.col("digest") == F.col("s_digest")))
     once = once.select(F.col("one.row").alias("row"), F.explode("starts").alias("start"), F.col("one.at").alias("base"))
     return settled.unionByName(once.select("row", (F.col("base") + F.col("start")).alias("at"), F.lit(1).alias("n")))
 
@@ -220,21 +238,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     rows = numbered(rows)
     marks = repeats(rows.select("row", "text"), size, most_in_shard)
-    marks = marks.groupBy(F.col("row").alias("m_row")).agg(F.collect_list(F.struct("at", "n")).alias("marks"))
-    joined = rows.join(marks, F.col("row") == F.col("m_row"), "left").select("doc_id", "text", "marks")
+    marks = written(marks.groupBy(F.col("row").alias("m_row")).agg(F.collect_list(F.struct("at", "n")).alias("marks")))
+    touched, whole = near(rows, marks, "m_row")
+    joined = touched.join(marks, F.col("row") == F.col("m_row"), "left").select("doc_id", "text", "marks")
     kind = joined.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            marks_ = b.column(2)
-            ends = marks_.offsets.to_numpy()
-            flat = marks_.values
-            at, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            marked = b.num_columns > 2
+            if marked:
+                ends = b.column(2).offsets.to_numpy()
+                at, n = (b.column(2).values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, t in enumerate(b.column(1).to_pylist()):
                 words = (t or b"").split()
                 gone = 0
-                if ends[i + 1] > ends[i]:
+                if marked and ends[i + 1] > ends[i]:
                     edge = np.zeros(len(words) + 1, np.int64)
                     a, k = at[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]
                     np.add.at(edge, a, 1)
@@ -248,7 +267,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             text_out = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), text_out], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept string"
+    return joined.mapInArrow(run, schema).unionByName(whole.select("doc_id", "text").mapInArrow(run, schema))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
