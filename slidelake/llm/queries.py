@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, license_scan, line_dedup, mixing, quality, simhash, substring_dedup, toxicity
+from . import ann, decontaminate, license_scan, line_dedup, lm, mixing, quality, simhash, substring_dedup, toxicity
 from .common import Query
 
 QUERIES: dict[str, Query] = {
@@ -13,6 +13,7 @@ QUERIES: dict[str, Query] = {
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_lm_score": lm.op8_lm_score,
     "op9_quality": quality.op9_quality,
     "op10_nearest": ann.op10_nearest,
 }
