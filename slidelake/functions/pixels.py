@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,9 +62,6 @@ MEANS, STDS = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
 def luma_half():
     """Luma in half precision, unrounded and rounded half-even, as a vectorised function of three int columns."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("half double, rounded int")
     def run(r: pd.Series, g: pd.Series, b: pd.Series) -> pd.DataFrame:
         h = [s.to_numpy().astype(np.float16) for s in (r, g, b)]
