@@ -144,10 +144,11 @@ class TileRange(InputPartition):
 
 class TiffReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
+        options = {k.lower(): v for k, v in options.items()}  # Spark's own map ignores case and gives lower case back
         self.paths = list_slides(options.get("path", ""))
         self.mode = options.get("mode", "tiles")
-        self.bytes = int(options.get("partitionBytes", 64 << 20))
-        self.skip_empty = options.get("skipEmpty", "false").lower() == "true"
+        self.bytes = int(options.get("partitionbytes", 64 << 20))
+        self.skip_empty = options.get("skipempty", "false").lower() == "true"
         if self.mode not in ("slides", "index", "tiles"):
             raise ValueError("mode is slides, index or tiles")
 

@@ -10,7 +10,8 @@ from ..plans.slides import tissue
 
 def arrivals(spark: SparkSession, folder: str, per_trigger: int = 3) -> DataFrame:
     """A stream of the paths of new slides, at most per_trigger at a time: the depth of the read-ahead. Contents are not read."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", "*.tif*").option("maxFilesPerTrigger", per_trigger).load(folder).select("path", "length", "modificationTime")
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", "*.tif*").option("maxFilesPerTrigger", per_trigger).load(folder).select("path", "length", "modificationTime")
 
 
 def filter_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str, per_trigger: int = 3, **how) -> StreamingQuery:
