@@ -101,8 +101,12 @@ def _leaks(docs: DataFrame, items: DataFrame, width: int, share: float, most_bro
     wanted = candidates.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_c")).select(F.col("doc_id").alias("w_id"))
     again = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("doc_id", normal_words(F.col("text")).alias("words"))
     exact = shingles.select("item_id", F.col("shingle").alias("i_shingle"), "n", F.col("h").alias("i_h"))
-    exact = F.broadcast(exact) if fits and small(exact, 20 * most_broadcast) else exact
-    held = shingle_rows(again, ["doc_id"], width).join(exact, F.col("h") == F.col("i_h")).where(shingle_text(width) == F.col("i_shingle"))
+    rows = shingle_rows(again, ["doc_id"], width)
+    if fits and small(exact, 20 * most_broadcast):
+        held = rows.join(F.broadcast(exact), F.col("h") == F.col("i_h")).where(shingle_text(width) == F.col("i_shingle"))
+    else:  # what is shuffled is the shingle, not its document's words
+        rows = rows.select("doc_id", "h", shingle_text(width).alias("d_shingle"))
+        held = rows.join(exact, (F.col("h") == F.col("i_h")) & (F.col("d_shingle") == F.col("i_shingle")))
     held = held.groupBy("doc_id", "item_id", "n", "i_shingle").agg(F.count(F.lit(1)).alias("times"))
     shared = held.groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared"))
     shared = shared.where(F.col("n_shared") >= F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)))
