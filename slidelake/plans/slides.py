@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixels import BLACK, REJECT, WHITE, keeps
-from ..operators.grid import candidates, check_geometry, tile_cover, unaligned_cover
+from ..operators.grid import candidates, tile_cover, unaligned_cover
 from ..sources import jpeg
 from ..sources.tiff import Files, checked, directory, register
 
@@ -104,9 +104,46 @@ def count_tiles(index: DataFrame, white: int = WHITE, black: int = BLACK, precis
     return src.mapInArrow(run, "slide_id string, tile_id long, white long, black long, n long, damaged boolean")
 
 
-def patch_counts(spark: SparkSession, path: str, patch: int = 1024, stride: int = 1024, white: int = WHITE, black: int = BLACK, precision: str = "luma") -> DataFrame:
+def decode_tiles(index: DataFrame) -> DataFrame:
+    """(slide_id, tile_id, rows, columns, rgb, damaged): the pixels of the tiles of an index that have bytes, as one binary."""
+    src = index.where(F.col("bytecount") > 0).select("slide_id", "path", "tile_id", "offset", "bytecount")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(*(b.column(k).to_pylist() for k in (1, 3, 4)), strict=True))
+            for at, raw, tables in _fetch(rows):
+                got = _decoded(raw, tables)
+                px = None if got is None else jpeg.rgb(got.planes)
+                bad = np.ones(len(at), bool) if got is None else got.damaged
+                body = pa.array([None if bad[j] else px[j].tobytes() for j in range(len(at))], pa.binary())
+                size = [pa.array(np.full(len(at), 0 if px is None else px.shape[k], np.int32)) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), *size, body, pa.array(bad)], names=["slide_id", "tile_id", "rows", "columns", "rgb", "damaged"])
+
+    return src.mapInArrow(run, "slide_id string, tile_id long, rows int, columns int, rgb binary, damaged boolean")
+
+
+def count_pixels(tiles: DataFrame, white: int = WHITE, black: int = BLACK) -> DataFrame:
+    """As count_tiles, of tiles that are decoded already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w, k, n = [], [], []
+            for rgb in b.column(4).to_pylist():
+                gray = None if rgb is None else jpeg.luma_of(np.frombuffer(rgb, np.uint8).reshape(-1, 3))
+                w.append(None if rgb is None else int((gray > white).sum()))
+                k.append(None if rgb is None else int((gray < black).sum()))
+                n.append(None if rgb is None else len(gray))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in (w, k, n)], b.column(5)], names=["slide_id", "tile_id", "white", "black", "n", "damaged"])
+
+    return tiles.mapInArrow(run, "slide_id string, tile_id long, white long, black long, n long, damaged boolean")
+
+
+def patch_counts(spark: SparkSession, path: str, patch: int = 1024, stride: int = 1024, white: int = WHITE, black: int = BLACK, precision: str = "luma", arrange: Callable[[DataFrame], DataFrame] = lambda index: index, fused: bool = True) -> DataFrame:
     """(slide_id, path, x, y, white, black, total, damaged) of every candidate. Tiles without bytes are black.
 
+    arrange: lays out the pruned index before tiles are read (partitions, order). fused=False decodes to pixels in one
+    function and counts in another, for comparison.
+
     Patches that are unions of whole tiles add up tile counts (each tile decoded once, however many patches share it); any
     other geometry counts the parts of each tile that its patches take, still decoding it once.
     """
@@ -115,22 +152,22 @@ def patch_counts(spark: SparkSession, path: str, patch: int = 1024, stride: int
     out = None
     for tw, th in shapes:
         own = slides.where((F.col("tile_w") == tw) & (F.col("tile_h") == th))
-        index = index_of(spark, path).where((F.col("tile_w") == tw) & (F.col("tile_h") == th) & covered(patch, stride))
+        index = arrange(index_of(spark, path).where((F.col("tile_w") == tw) & (F.col("tile_h") == th) & covered(patch, stride)))
         cand = candidates(own.select("slide_id", "path", "w", "h", "ntx"), patch, stride).drop("w", "h")
-        try:
-            check_geometry(patch, stride, tw, th)
-            part = _aligned(cand, index, patch, tw, th, white, black, precision)
-        except ValueError:
+        if patch % tw or patch % th or stride % tw or stride % th:
             part = _cropped(cand, index, patch, tw, th, white, black, precision)
+        else:
+            counts = count_tiles(index, white, black, precision) if fused else count_pixels(decode_tiles(index), white, black)
+            part = _aligned(cand, counts, patch, tw, th)
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise OSError(f"no slides at {path}")
     return out
 
 
-def _aligned(cand: DataFrame, index: DataFrame, patch: int, tw: int, th: int, white: int, black: int, precision: str) -> DataFrame:
+def _aligned(cand: DataFrame, counts: DataFrame, patch: int, tw: int, th: int) -> DataFrame:
     cover = tile_cover(cand, patch, tw, th, "ntx").drop("ntx")
-    counts = count_tiles(index, white, black, precision).select(F.col("slide_id").alias("c_slide"), F.col("tile_id").alias("c_tile"), F.col("white").alias("c_white"), F.col("black").alias("c_black"), "damaged")
+    counts = counts.select(F.col("slide_id").alias("c_slide"), F.col("tile_id").alias("c_tile"), F.col("white").alias("c_white"), F.col("black").alias("c_black"), "damaged")
     both = cover.join(counts, (F.col("slide_id") == F.col("c_slide")) & (F.col("tile_id") == F.col("c_tile")), "left")
     empty = F.when(F.col("c_slide").isNull(), tw * th).otherwise(0)
     return both.groupBy("slide_id", "path", "x", "y").agg(
