@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,4 +76,42 @@ def small(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def text_runs(column: pa.Array, most: int = 1_000_000, step: int = 64) -> Iterator[tuple[int, list[bytes | None]]]:
+    """(number of the first text, texts) of runs of at most most bytes of a column, or of one longer text; each text whole.
+
+    Only a run and step texts are Python objects at a time, whatever the size of the batch.
+    """
+    first, held, out = 0, 0, []
+    for k in range(0, len(column), step):
+        for i, text in enumerate(column.slice(k, step).to_pylist(), start=k):
+            if out and held + len(text or b"") > most:
+                yield first, out
+                first, held, out = i, 0, []
+            held += len(text or b"")
+            out.append(text)
+    if out:
+        yield first, out
+
+
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While jobs of long rows run: Arrow batches of at most rows rows, so buffers on either side stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def tidy() -> None:
+    """At the end of a task in a Python worker that lives on: give freed memory back to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
