@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
 from .bloom import bloom_of, sift
-from .common import table, written
+from .common import short_batches, table, text_runs, tidy, written
 
-SIZE, GRAM, CHUNK = 35, 6, 3_000_000
+SIZE, GRAM = 35, 6
 #: Distinct segments of one anchor that one automaton holds; an anchor with more is settled window by window.
 MOST_IN_SHARD = 2_000
 
@@ -45,7 +45,7 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         out = self[word] = xxh3_64_intdigest(word)
         return out
@@ -98,19 +98,6 @@ def segments(ids: np.ndarray, sizes: np.ndarray, size: int = SIZE, gram: int = G
     return doc[begin], begin - first[doc[begin]], count, rolled[anchor[begin]], digest
 
 
-def _chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(number of the first text, words of each text) for runs of texts of bounded size; each text is whole."""
-    k = 0
-    while k < len(texts):
-        j, held, out = k, 0, []
-        while j < len(texts) and (j == k or held + len(texts[j] or b"") <= CHUNK):
-            held += len(texts[j] or b"")
-            out.append((texts[j] or b"").split())
-            j += 1
-        yield k, out
-        k = j
-
-
 def segment_rows(docs: DataFrame, size: int) -> DataFrame:
     """(row, at, n, anchor, digest) of (row, text): segments of at least one window."""
     kind = docs.schema["row"].dataType.simpleString()
@@ -118,11 +105,13 @@ def segment_rows(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for b in batches:
-            for k, texts in _chunks(b.column(1).to_pylist()):
+            for k, run_ in text_runs(b.column(1)):
+                texts = [(t or b"").split() for t in run_]
                 sizes = np.array([len(t) for t in texts], np.int64)
                 flat = np.fromiter((ids[w] for t in texts for w in t), np.uint64, int(sizes.sum()))
                 doc, at, n, anchor, digest = segments(flat, sizes, size)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc + k)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))], names=["row", "at", "n", "anchor", "digest"])
+        tidy()
 
     return docs.mapInArrow(run, f"row {kind}, at int, n int, anchor long, digest long")
 
@@ -150,7 +139,8 @@ def near(docs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFra
 
 def repeats(docs: DataFrame, size: int = SIZE, most_in_shard: int = MOST_IN_SHARD) -> DataFrame:
     """(row, at, n): runs of windows (first window, number) of (row, text) whose words also start elsewhere."""
-    occ = written(segment_rows(docs, size))
+    with short_batches(docs.sparkSession):
+        occ = written(segment_rows(docs, size))
     # Equal segments are combined before the shuffle, so a passage that a third of all documents hold is one row per task.
     kinds = occ.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("times"))
     per = kinds.groupBy("anchor").agg(F.sum("times").alias("all_times"), F.count(F.lit(1)).alias("n_kinds")).where("all_times > 1").select(F.col("anchor").alias("p_anchor"), "n_kinds")
@@ -169,11 +159,12 @@ def repeats(docs: DataFrame, size: int = SIZE, most_in_shard: int = MOST_IN_SHAR
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            for text, wants in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = (text or b"").split()
-                for a in wants:
-                    for c, v in zip(cols, (a["anchor"], a["digest"], a["times"], a["hot"], b" ".join(words[a["at"] : a["at"] + a["n"] + size - 1])), strict=True):
-                        c.append(v)
+            for first, texts in text_runs(b.column(0)):
+                for text, wants in zip(texts, b.column(1).slice(first, len(texts)).to_pylist(), strict=True):
+                    words = (text or b"").split()
+                    for a in wants:
+                        for c, v in zip(cols, (a["anchor"], a["digest"], a["times"], a["hot"], b" ".join(words[a["at"] : a["at"] + a["n"] + size - 1])), strict=True):
+                            c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["anchor", "digest", "times", "hot", "words"])
 
     fetched = asked.mapInArrow(fetch, "anchor long, digest long, times long, hot int, words binary")
@@ -250,7 +241,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             if marked:
                 ends = b.column(2).offsets.to_numpy()
                 at, n = (b.column(2).values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for i, t in enumerate(b.column(1).to_pylist()):
+            for i, t in ((first + j, t) for first, texts in text_runs(b.column(1)) for j, t in enumerate(texts)):
                 words = (t or b"").split()
                 gone = 0
                 if marked and ends[i + 1] > ends[i]:
