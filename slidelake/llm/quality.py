@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import remainder, table, text_runs
 from .labelled import FOLDS, logistic, sample_of, sigmoid
 
-MOST_EACH, CHUNK, THRESHOLD = 3000, 4_000_000, 0.3
+MOST_EACH, RUN, THRESHOLD = 3000, 2_000_000, 0.3
 
 #: Byte classes: 1 upper, 2 lower or part of a longer character, 3 digit, 4 space, 5 sentence mark, 6 other mark.
 _CLASS = np.full(256, 6, np.uint8)
@@ -160,19 +160,15 @@ class QualityModel:
     b: float
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        """Probability of label 1. Texts are worked on in chunks of bounded size, each whole; null counts as empty."""
-        out = np.empty(len(texts))
-        k = 0
-        while k < len(texts):
-            j, held = k, 0
-            while j < len(texts) and (j == k or held + len(texts[j] or b"") <= CHUNK):
-                held += len(texts[j] or b"")
-                j += 1
-            own, length, n_lines = line_features([t or b"" for t in texts[k:j]])
-            good, _ = self.chain.run(with_neighbours(own, n_lines), n_lines)
-            out[k:j] = sigmoid(self.a * logit(quality_of(good, length, n_lines)) + self.b)
-            k = j
-        return out
+        """Probability of label 1; null counts as empty."""
+        own, length, n_lines = line_features([t or b"" for t in texts])
+        good, _ = self.chain.run(with_neighbours(own, n_lines), n_lines)
+        return sigmoid(self.a * logit(quality_of(good, length, n_lines)) + self.b)
+
+    def scores_in(self, column: pa.Array) -> np.ndarray:
+        """Of a column of binaries, in runs of bounded size."""
+        parts = [self.scores(texts) for _, texts in text_runs(column, RUN)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_each: int = MOST_EACH) -> QualityModel:
@@ -217,7 +213,7 @@ def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1).to_pylist()))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores_in(b.column(1)))], names=["doc_id", "score"])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")
 
@@ -229,7 +225,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text: str = "text", threshol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = model.scores(b.column(at).cast(pa.binary()).to_pylist()) >= threshold
+            good = model.scores_in(b.column(at).cast(pa.binary())) >= threshold
             yield b.filter(pa.array(good))
 
     return docs.mapInArrow(run, schema)

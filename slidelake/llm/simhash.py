@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, small, table, text_runs
 from .components import components
 
 WIDTH, RADIUS, SEED = 3, 2, 42
@@ -75,6 +75,11 @@ def fingerprints_of(texts: list[bytes | None], width: int = WIDTH) -> np.ndarray
     return out
 
 
+def fingerprints_in(column: pa.Array, width: int) -> np.ndarray:
+    parts = [fingerprints_of(texts, width) for _, texts in text_runs(column)]
+    return np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+
+
 def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -82,7 +87,7 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprints_of(b.column(1).to_pylist(), width).view(np.int64)
+            fp = fingerprints_in(b.column(1), width)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
     return src.mapInArrow(run, f"doc_id {kind}, fp long")
@@ -247,7 +252,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = fingerprints_of(b.column(at).cast(pa.binary()).to_pylist(), width).view(np.int64)
+            fps = fingerprints_in(b.column(at).cast(pa.binary()), width)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*b.schema.names, "__fp"])
 
     keyed = docs.mapInArrow(run, type(kind)([*kind.fields, *docs.sparkSession.range(0).select(F.col("id").alias("__fp")).schema.fields]))

@@ -66,7 +66,7 @@ class ToxicityModel:
         w = raw.strip(_EDGES)
         c = self.closed.get(w) or ("I" if w in self.lexicon or any(w[:k] in self.stems for k in STEMS if len(w) >= k) else "O")
         out = c + ("." if raw.endswith(_ENDS) else "")
-        if len(self.cache) > 500_000:  # bounded memory; the cache only saves time
+        if len(self.cache) > 200_000:  # bounded memory; the cache only saves time
             self.cache.clear()
         self.cache[raw] = out
         return out
@@ -154,7 +154,7 @@ def events_of(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ToxicityModel(*given)
         for b in batches:
-            events = np.array([own.events(t) for t in b.column(1).to_pylist()]).reshape(-1, len(EVENTS))
+            events = np.array([own.events(t) for k in range(0, len(b.column(1)), 128) for t in b.column(1).slice(k, 128).to_pylist()]).reshape(-1, len(EVENTS))
             score = sigmoid(features(events) @ np.array(own.weights[:-1]) + own.weights[-1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(events.tolist(), pa.list_(pa.float64())), pa.array(score)], names=["doc_id", "events", "score"])
 
