@@ -146,10 +146,14 @@ def ratio_edges(spark, sf_dir):
     return rows.withColumn("kept", px.keeps(F.col("white"), F.lit(0), F.col("total")))
 
 
-@query(f"""SELECT slide_id, i AS x, greatest(h - 1024 - i, 0) AS y FROM (SELECT *, least(k * 256, w - 1024) AS i FROM ({SLIDES}) s, range(6) r(k) WHERE w >= 1024)""")
+@query(f"SELECT slide_id, least(i * 1024, w - 1024) AS x, least(i * 1024, h - 1024) AS y FROM ({SLIDES}) s, range(4) r(i)")
 def diagonal_sample(spark, sf_dir):
-    out = part_slides(spark, sf_dir).where("w >= 1024").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("x", F.least(F.col("k") * 256, F.col("w") - 1024))
-    return out.select("slide_id", "x", F.greatest(F.col("h") - 1024 - F.col("x"), F.lit(0)).alias("y"))
+    return grid.diagonal(part_slides(spark, sf_dir), 1024, 4).select("slide_id", "x", "y")
+
+
+@query(f"SELECT slide_id, CAST(floor((w - 1024) / 2) AS BIGINT) AS x, CAST(floor((h - 1024) / 2) AS BIGINT) AS y FROM ({SLIDES}) s")
+def centre_sample(spark, sf_dir):
+    return grid.centre(part_slides(spark, sf_dir), 1024).select("slide_id", "x", "y")
 
 
 @query(f"""SELECT slide_id, CAST(floor((w - 1024) * ix / 3e0) AS BIGINT) AS x, CAST(floor((h - 1024) * iy / 3e0) AS BIGINT) AS y

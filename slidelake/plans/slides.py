@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.pixels import BLACK, REJECT, WHITE, keeps
 from ..operators.grid import candidates, tile_cover, unaligned_cover
@@ -235,5 +236,4 @@ def patch_pixels(kept: DataFrame, patch: int) -> DataFrame:
                         out[y0:y1, x0:x1] = px[k, y0 - top : y1 - top, x0 - left : x1 - left]
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([out.tobytes()], pa.binary())], names=[*row.schema.names, "rgb"])
 
-    schema = type(kept.schema)([*kept.schema.fields]).add("rgb", "binary")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, StructType(list(kept.schema.fields)).add("rgb", "binary"))
