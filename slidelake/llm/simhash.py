@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import cut, small, table, text_runs
 from .components import components
@@ -255,7 +256,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
             fps = fingerprints_in(b.column(at).cast(pa.binary()), width)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*b.schema.names, "__fp"])
 
-    keyed = docs.mapInArrow(run, type(kind)([*kind.fields, *docs.sparkSession.range(0).select(F.col("id").alias("__fp")).schema.fields]))
+    keyed = docs.mapInArrow(run, StructType(list(kind.fields)).add("__fp", "long"))
     gone = F.broadcast(gone) if small(gone, MOST_BROADCAST) else gone
     out = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("__g_id")) & (F.col("__fp") == F.col("__g_fp")), "left_anti")
     if twice:
