@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions.pixels import BLACK, MEANS, REJECT, STDS, WHITE
+from .functions.pixels import BLACK, FAILED, MEANS, REJECT, STDS, WHITE
 from .operators.grid import kept_index
 from .operators.tissue import decisions
 from .plans.slides import patch_counts, patch_pixels
@@ -48,7 +48,7 @@ class SlideDataset:
     def decisions(self) -> DataFrame:
         """Every candidate with its shares and the decision in words."""
         out = decisions(self.counts, self.reject)
-        return out.withColumn("status", F.when(F.col("damaged"), F.lit("discarded (reason: error processing patch)")).otherwise(F.col("status")))
+        return out.withColumn("status", F.when(F.col("damaged"), F.lit(FAILED)).otherwise(F.col("status")))
 
     def __len__(self) -> int:
         return self._n

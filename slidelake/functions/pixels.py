@@ -7,12 +7,21 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Default thresholds, weights and rounding of the integer luma, weights of the colour transform, channel means
+# and deviations, and the wording of decisions.
 WHITE, BLACK, REJECT = 230, 25, 0.9
+LUMA_R, LUMA_G, LUMA_B, LUMA_HALF, LUMA_BITS = 19595, 38470, 7471, 32768, 16
+RED_CR, GREEN_CB, GREEN_CR, BLUE_CB = 1.402, 0.344136, 0.714136, 1.772
+MEANS, STDS = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+SELECTED = "selected (white: %.2f, black: %.2f)"
+TOO_WHITE = "discarded (reason: white_ratio %.2f >= {})"
+TOO_BLACK = "discarded (reason: black_ratio %.2f >= {})"
+FAILED = "discarded (reason: error processing patch)"
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:
     """Integer luma of 8-bit channels. The sum stays under 2^31, so ints suffice."""
-    return F.shiftright(r * F.lit(19595) + g * F.lit(38470) + b * F.lit(7471) + F.lit(32768), 16)
+    return F.shiftright(r * F.lit(LUMA_R) + g * F.lit(LUMA_G) + b * F.lit(LUMA_B) + F.lit(LUMA_HALF), LUMA_BITS)
 
 
 def is_white(gray: Column, threshold: int = WHITE) -> Column:
@@ -34,10 +43,10 @@ def status(white: Column, black: Column, total: Column, reject: float = REJECT)
     n = F.nullif(total.cast("double"), F.lit(0.0))
     w, b = white / n, black / n
     return (
-        F.when(n.isNull(), F.lit("discarded (reason: error processing patch)"))
-        .when(w >= F.lit(reject), F.format_string(f"discarded (reason: white_ratio %.2f >= {reject})", w))
-        .when(b >= F.lit(reject), F.format_string(f"discarded (reason: black_ratio %.2f >= {reject})", b))
-        .otherwise(F.format_string("selected (white: %.2f, black: %.2f)", w, b))
+        F.when(n.isNull(), F.lit(FAILED))
+        .when(w >= F.lit(reject), F.format_string(TOO_WHITE.format(reject), w))
+        .when(b >= F.lit(reject), F.format_string(TOO_BLACK.format(reject), b))
+        .otherwise(F.format_string(SELECTED, w, b))
     )
 
 
@@ -49,17 +58,13 @@ def rgb_of_ycc(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Colum
     """Full-range YCbCr to clamped RGB, rounded half up."""
     u, v = cb - F.lit(128.0), cr - F.lit(128.0)
     near = lambda x: _clamp(F.floor(x + F.lit(0.5)).cast("int"))
-    return near(y + F.lit(1.402) * v), near(y - F.lit(0.344136) * u - F.lit(0.714136) * v), near(y + F.lit(1.772) * u)
+    return near(y + F.lit(RED_CR) * v), near(y - F.lit(GREEN_CB) * u - F.lit(GREEN_CR) * v), near(y + F.lit(BLUE_CB) * u)
 
 
-def normalise(value: Column, mean: float = 0.485, std: float = 0.229) -> Column:
+def normalise(value: Column, mean: float = MEANS[0], std: float = STDS[0]) -> Column:
     return (value - F.lit(mean)) / F.lit(std)
 
 
-#: Channel means and deviations of the usual normalisation.
-MEANS, STDS = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
-
-
 def luma_half():
     """Luma in half precision, unrounded and rounded half-even, as a vectorised function of three int columns."""
     @F.pandas_udf("half double, rounded int")

@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from ..functions.pixels import BLUE_CB, GREEN_CB, GREEN_CR, LUMA_B, LUMA_BITS, LUMA_G, LUMA_HALF, LUMA_R, RED_CR
+
 # Order in which the coefficients of a block are stored.
 ZIGZAG = np.array([
     0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5,
@@ -236,10 +238,11 @@ def rgb(planes: list[np.ndarray]) -> np.ndarray:
     """(n, rows, columns, 3) uint8 of full-range YCbCr planes."""
     y = planes[0].astype(np.float32)
     cb, cr = (upsample(p, *y.shape[1:]).astype(np.float32) - 128 for p in planes[1:])
-    parts = (y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb)
+    red, gb, gr, blue = (np.float32(v) for v in (RED_CR, GREEN_CB, GREEN_CR, BLUE_CB))
+    parts = (y + red * cr, y - gb * cb - gr * cr, y + blue * cb)
     return np.stack([np.clip(np.rint(p), 0, 255).astype(np.uint8) for p in parts], axis=-1)
 
 
 def luma_of(pixels: np.ndarray) -> np.ndarray:
     p = pixels.astype(np.int32)
-    return ((p[..., 0] * 19595 + p[..., 1] * 38470 + p[..., 2] * 7471 + 32768) >> 16).astype(np.uint8)
+    return ((p[..., 0] * LUMA_R + p[..., 1] * LUMA_G + p[..., 2] * LUMA_B + LUMA_HALF) >> LUMA_BITS).astype(np.uint8)
