@@ -211,13 +211,30 @@ def tissue_filter(spark, sf_dir):
 WHEN black / total >= 0.5e0 THEN printf('discarded (reason: black_ratio %.2f >= 0.5)', black / total)
 ELSE printf('selected (white: %.2f, black: %.2f)', white / total, black / total) END AS status FROM s WHERE (white * 200) % total <> 0 AND (black * 200) % total <> 0""")
 def decision_log(spark, sf_dir):
-    """Shares that lie just between two printed hundredths are left out: the engines round them differently."""
+    """Shares that are a multiple of half a hundredth, 0 and 1 too, are left out here and in the SQL; decision_log_whole has them all."""
     dims, counts = flagship_counts(spark, sf_dir)
     cover = grid.tile_cover(grid.candidates(dims, 1024, 512), 1024, 512, 512, "ntx").select("slide_id", "x", "y", "tile_id")
     sums = tissue.rollup(cover, counts, ["slide_id", "tile_id"], ["slide_id", "x", "y"], 1)
     return tissue.decisions(sums.where("(white * 200) % total <> 0 and (black * 200) % total <> 0"), 0.5).select("slide_id", "x", "y", "status")
 
 
+def hundredths_sql(count: str) -> str:
+    """The share of total in hundredths, rounded half up by integers: engines print doubles between two hundredths differently."""
+    h = f"((200 * {count} + total) // (2 * total))"
+    return f"printf('%d.%02d', CAST({h} // 100 AS BIGINT), CAST({h} % 100 AS BIGINT))"
+
+
+@query(FLAGSHIP + f"""SELECT slide_id, x, y, CASE WHEN white / total >= 0.5e0 THEN 'discarded (reason: white_ratio ' || {hundredths_sql('white')} || ' >= 0.5)'
+WHEN black / total >= 0.5e0 THEN 'discarded (reason: black_ratio ' || {hundredths_sql('black')} || ' >= 0.5)'
+ELSE 'selected (white: ' || {hundredths_sql('white')} || ', black: ' || {hundredths_sql('black')} || ')' END AS status FROM s""")
+def decision_log_whole(spark, sf_dir):
+    """The decision on every patch; decision_log and its SQL leave out each share that is a multiple of half a hundredth."""
+    dims, counts = flagship_counts(spark, sf_dir)
+    cover = grid.tile_cover(grid.candidates(dims, 1024, 512), 1024, 512, 512, "ntx").select("slide_id", "x", "y", "tile_id")
+    sums = tissue.rollup(cover, counts, ["slide_id", "tile_id"], ["slide_id", "x", "y"], 1)
+    return tissue.decisions(sums, 0.5).select("slide_id", "x", "y", "status")
+
+
 @query(FLAGSHIP + ", n AS (SELECT slide_id, tile_id, x, y FROM cov) SELECT slide_id, tile_id, count(*) AS n_patches, min(y) AS first_y, min(x) AS first_x FROM n GROUP BY slide_id, tile_id")
 def tiles_to_patches(spark, sf_dir):
     dims, _ = flagship_counts(spark, sf_dir)

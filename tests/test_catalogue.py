@@ -1,5 +1,6 @@
 import pytest
 from compare import rows_of, rows_of_sql
+from pyspark.sql import functions as F
 
 from slidelake.plans import catalogue
 
@@ -14,6 +15,22 @@ def test_runs(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() >= 1
 
 
+def test_every_patch_has_a_decision(spark, sf):
+    patches = catalogue.grid.candidates(catalogue.part_slides(spark, sf), 1024, 512)
+    assert catalogue.QUERIES["decision_log_whole"](spark, sf).count() == patches.count() > 0
+
+
+def test_shares_print_half_up(spark):
+    """As integers round them, ties included."""
+    from slidelake.functions import pixels as px
+
+    rows = spark.range(1, 402).withColumnRenamed("id", "total").selectExpr("total", "explode(sequence(0L, total)) white")
+    h = F.expr("(200 * white + total) div (2 * total)")
+    want = F.concat(F.lit("selected (white: "), F.format_string("%d.%02d", F.floor(h / 100), h % 100), F.lit(", black: 0.00)"))
+    got = px.status(F.col("white"), F.lit(0), F.col("total"), 2.0)
+    assert rows.where(got != want).count() == 0
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
