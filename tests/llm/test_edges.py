@@ -207,6 +207,20 @@ def test_lm(spark, docs, none, rows):
     assert len(lm.score(docs.select("doc_id", "text"), empty).collect()) == len(rows)
 
 
+def test_lm_attention_reads_every_document(spark, monkeypatch):
+    """Each document holds subwords of its own: their values move only if its windows are trained on."""
+    monkeypatch.setattr(lm, "PER_LEARNER", 500)
+    tok = lm.tokenizer_of(lm.read_file(spark, lm.TOKENIZER))
+    single = [w for w in (bytes([97 + a, 97 + b, 97 + c]) for a in range(26) for b in range(26) for c in range(26)) if len(tok.ids(w)) == 1][:400]
+    filler = " ".join(w.decode() for w in single[:60])
+    rows = [(k, f"{filler} {w.decode()} {filler}") for k, w in enumerate(single[60:])]
+    model = lm.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    first = lm.first_weights(len(model.tables.kind), model.tables.outer.shape[1])
+    own = [model.tables.place[tok.ids(w)[0]] for w in single[60:]]
+    assert len(set(own)) == len(own)
+    assert (np.abs(model.weights["v"][own] - first["v"][own]).max(axis=1) > 0).all()
+
+
 def test_lm_is_a_distribution():
     """Over all ways to go on from a context, classes and places add up to one; windows score each target once."""
     pairs = np.array([(-1, 3, 5), (3, 4, 4), (4, -1, 4), (3, -1, 1), (-1, 7, 2), (7, -1, 2)])
