@@ -120,6 +120,21 @@ def test_decontaminate(spark, docs, none, rows):
     assert decontaminate.decontaminate(docs, table.limit(0)).count() == len(rows)
 
 
+def test_entire_licenses(spark):
+    from pathlib import Path
+
+    t = license_texts
+    rights = "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + t.BSD_3
+    rows = [("Unlicense", t.UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org/>\n"), ("BSD-3-Clause", rights)]
+    assert "recognize copyright laws" in t.UNLICENSE and "WARRANTY OF ANY KIND" in t.UNLICENSE
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3")):
+        path = Path("/usr/share/common-licenses") / file
+        rows += [(name, path.read_text())] if path.exists() else []
+    rows += [("Apache-2.0", t.APACHE_2.replace("[yyyy] [name of copyright owner]", "2020 Someone"))]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all(r.doc_id == r.license_id for r in got)
+
+
 def test_license(spark, none):
     mit = "Copyright (c) 2020 Someone\n\n" + license_texts.MIT.replace("sublicense", "sublicence").replace('"', "'").upper()
     rows = [(1, mit), (2, "some text\nReleased  under the MIT licence!\nmore"), (3, None), (4, ""), (None, license_texts.ISC), (1, "Licensed under CC BY-NC 4.0."), (6, license_texts.MIT + " extra")]
