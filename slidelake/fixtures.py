@@ -1,4 +1,7 @@
-"""Writer of small tiled TIFF slides for tests and trials; tiles are encoded by the JVM's own JPEG writer."""
+"""Writer of small tiled TIFF slides for tests and trials.
+
+Tiles come from pixels, by the JVM's own JPEG writer, or from given coefficients, by the entropy coder here.
+"""
 
 from __future__ import annotations
 
@@ -38,6 +41,72 @@ def parted(stream: bytes) -> tuple[bytes, bytes]:
         at += size
 
 
+def own_codes() -> dict[bool, tuple[bytes, bytes]]:
+    """Huffman tables of the coder here, by whether they are for AC: code counts by length, and symbols.
+
+    Any prefix code does: DC sizes have 4 bits, the end of a block 2, and every other pair of run and size 9.
+    """
+    dc = bytes([0, 0, 0, 12, *[0] * 12]), bytes(range(12))
+    pairs = [r << 4 | s for r in range(16) for s in range(1, 11)] + [0xF0]
+    return {False: dc, True: (bytes([0, 1, *[0] * 6, len(pairs), *[0] * 7]), bytes([0, *pairs]))}
+
+
+def code_of(lengths: bytes, symbols: bytes) -> dict[int, str]:
+    """The code of each symbol as a string of bits."""
+    out, code, k = {}, 0, 0
+    for n, how_many in enumerate(lengths, start=1):
+        for _ in range(how_many):
+            out[symbols[k]] = format(code, f"0{n}b")
+            code += 1
+            k += 1
+        code <<= 1
+    return out
+
+
+def segment(kind: int, body: bytes) -> bytes:
+    return struct.pack(">BBH", 0xFF, kind, len(body) + 2) + body
+
+
+def tables_of(quant: list[int]) -> bytes:
+    """The segments of one quantisation table, in stored order, and of both Huffman tables."""
+    codes = b"".join(segment(0xC4, bytes([int(ac) << 4]) + a + b) for ac, (a, b) in own_codes().items())
+    return segment(0xDB, bytes([0, *quant])) + codes
+
+
+def scan_bytes(coefs: np.ndarray) -> bytes:
+    """The entropy-coded scan of (mcu, block, 64) coefficients in stored order, DC as differences."""
+    dc, ac = (code_of(*own_codes()[k]) for k in (False, True))
+    bits: list[str] = []
+
+    def value(v: int, size: int) -> str:
+        return format(v if v > 0 else v + (1 << size) - 1, f"0{size}b") if size else ""
+
+    for block in coefs.reshape(-1, 64).tolist():
+        size = abs(block[0]).bit_length()
+        bits.append(dc[size] + value(block[0], size))
+        last = 0
+        for k in [k for k in range(1, 64) if block[k]]:
+            run = k - last - 1
+            bits.append(ac[0xF0] * (run // 16))
+            size = abs(block[k]).bit_length()
+            bits.append(ac[run % 16 << 4 | size] + value(block[k], size))
+            last = k
+        if last < 63:
+            bits.append(ac[0])
+    text = "".join(bits)
+    text += "1" * (-len(text) % 8)
+    return int("1" + text, 2).to_bytes(len(text) // 8 + 1, "big")[1:].replace(b"\xff", b"\xff\x00")
+
+
+def stream(coefs: np.ndarray, width: int, height: int, sampling: tuple[int, int], quant: list[int] | None = None, n_parts: int = 3) -> bytes:
+    """A baseline stream of coefficients; without quant an abbreviated one, which needs tables_of. sampling: luma's (h, v)."""
+    head = b"\xff\xd8" + (tables_of(quant) if quant else b"")
+    parts = b"".join(bytes([i + 1, (sampling[0] << 4 | sampling[1]) if i == 0 else 0x11, 0]) for i in range(n_parts))
+    frame = segment(0xC0, struct.pack(">BHHB", 8, height, width, n_parts) + parts)
+    scan = segment(0xDA, bytes([n_parts]) + b"".join(bytes([i + 1, 0]) for i in range(n_parts)) + b"\0\x3f\0")
+    return head + frame + scan + scan_bytes(coefs) + b"\xff\xd9"
+
+
 def tiff_bytes(width: int, height: int, tile: int, tiles: list[bytes | None], tables: bytes = b"", compression: int = JPEG, order: str = "<", magic: int = 42, tiled: bool = True) -> bytes:
     """A classic TIFF with one directory; a tile of None has no bytes."""
     body = bytearray(b"II" if order == "<" else b"MM") + struct.pack(order + "HI", magic, 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,26 +12,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.pixels import BLACK, REJECT, WHITE, keeps
-from ..operators.grid import candidates, tile_cover, unaligned_cover
 from ..sources import jpeg
-from ..sources.tiff import Files, checked, directory, register
+from ..sources.tiff import Files, checked, directory, one_file, register
 
-#: Tiles that are decoded in lock step; a 512 x 512 tile takes about 1.6 MB meanwhile.
-LOCK_STEP = 128
+#: Tiles that are read and decoded together; a 512 x 512 tile takes about 2 MB meanwhile.
+LOCK_STEP = 192
+GEOMETRY = ("slide_id", "path", "width", "height", "tile_w", "tile_h", "tile_id", "tile_row", "tile_col", "offset", "bytecount")
 
 
-def index_of(spark: SparkSession, path: str) -> DataFrame:
-    """A row per tile of every slide, without its bytes."""
+def _read(spark: SparkSession, path: str, mode: str, **options) -> DataFrame:
     register(spark)
-    return spark.read.format("tiledtiff").option("mode", "index").load(path)
+    return spark.read.format("tiledtiff").option("mode", mode).option("onerror", "raise" if one_file(path) else "skip").options(**options).load(path)
+
+
+def index_of(spark: SparkSession, path: str) -> DataFrame:
+    """A row per tile of every slide that can be decoded, without its bytes; neighbouring tiles lie in one partition."""
+    return _read(spark, path, "index")
 
 
 def slides_of(spark: SparkSession, path: str) -> DataFrame:
-    register(spark)
-    out = spark.read.format("tiledtiff").option("mode", "slides").load(path)
+    """The slides that can be decoded. The fault of a single file is raised; for a folder see bad_slides."""
+    out = _read(spark, path, "slides").where("error is null").drop("error")
     return out.withColumn("w", F.col("width").cast("long")).withColumn("h", F.col("height").cast("long")).withColumn("ntx", F.ceil(F.col("width") / F.col("tile_w")))
 
 
+def bad_slides(spark: SparkSession, path: str) -> DataFrame:
+    """(slide_id, path, error) of the files of a folder that were set aside."""
+    register(spark)
+    return spark.read.format("tiledtiff").option("mode", "slides").option("onerror", "skip").load(path).where("error is not null").select("slide_id", "path", "error")
+
+
 def covered(patch: int, stride: int) -> Column:
     """Whether any candidate covers a tile of the index: arithmetic on its position, so unused tiles are never read."""
 
@@ -44,168 +55,213 @@ def covered(patch: int, stride: int) -> Column:
     return axis("tile_col", "tile_w", "width") & axis("tile_row", "tile_h", "height")
 
 
-def _fetch(rows: list[tuple[str, int, int]]) -> Iterator[tuple[list[int], list[bytes], bytes]]:
-    """(positions, bytes, tables) of the rows (path, offset, bytecount), by slide and in file order."""
+class Tile(NamedTuple):
+    """A row of the index."""
+
+    slide_id: str
+    path: str
+    width: int
+    height: int
+    tile_w: int
+    tile_h: int
+    tile_id: int
+    tile_row: int
+    tile_col: int
+    offset: int
+    bytecount: int
+
+
+def rows_of(batch: pa.RecordBatch) -> list[Tile]:
+    return [Tile(*r) for r in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in GEOMETRY), strict=True)]
+
+
+def decoded(rows: list[Tile]) -> Iterator[tuple[list[int], jpeg.Group]]:
+    """(positions among rows, decoded group) of the rows that have bytes, by slide and in file order."""
     by: dict[str, list[int]] = {}
     for i, r in enumerate(rows):
-        by.setdefault(r[0], []).append(i)
+        if r.bytecount > 0:
+            by.setdefault(r.path, []).append(i)
     for path, at in by.items():
-        d = checked(directory(path))
+        tables = checked(directory(path)).jpegtables
         f = Files(path)
         try:
-            at.sort(key=lambda i: rows[i][1])
+            at.sort(key=lambda i: rows[i].offset)
             for k in range(0, len(at), LOCK_STEP):
                 some = at[k : k + LOCK_STEP]
-                yield some, [f.read(rows[i][1], rows[i][2]) for i in some], d.jpegtables
+                for g in jpeg.decode([f.read(rows[i].offset, rows[i].bytecount) for i in some], tables, (rows[some[0]].tile_w, rows[some[0]].tile_h)):
+                    yield [some[j] for j in g.at], g
         finally:
             f.close()
 
 
-def _decoded(raw: list[bytes], tables: bytes) -> jpeg.Decoded | None:
-    try:
-        return jpeg.decode(raw, tables)
-    except jpeg.JpegError:
-        return None
-
-
 def gray_of(planes: list[np.ndarray], precision: str) -> np.ndarray:
     """luma: integer luma of RGB. y: the luma plane itself. half: luma in half precision, unrounded."""
     if precision == "y":
         return planes[0]
-    px = jpeg.rgb(planes)
     if precision == "half":
-        h = px.astype(np.float16)
-        return h[..., 0] * np.float16(0.299) + h[..., 1] * np.float16(0.587) + h[..., 2] * np.float16(0.114)
-    return jpeg.luma_of(px)
+        r, g, b = (c.astype(np.float16) for c in jpeg.channels(planes))
+        return r * np.float16(0.299) + g * np.float16(0.587) + b * np.float16(0.114)
+    return jpeg.luma(planes)
+
+
+COUNTS = ["slide_id string", "path string", "tile_id long", "white long", "black long", "n long", "damaged boolean"]
 
 
 def count_tiles(index: DataFrame, white: int = WHITE, black: int = BLACK, precision: str = "luma") -> DataFrame:
-    """(slide_id, tile_id, white, black, n, damaged) of the tiles of an index that have bytes.
+    """(slide_id, path, tile_id, white, black, n, damaged) of the tiles of an index that have bytes.
 
     One vectorised function reads, decodes, converts and counts: pixels never leave the task, and two numbers per tile do. A
-    damaged tile has null counts.
+    damaged tile has null counts, whatever its neighbours are.
     """
-    src = index.where(F.col("bytecount") > 0).select("slide_id", "path", "tile_id", "offset", "bytecount")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(zip(*(b.column(k).to_pylist() for k in (1, 3, 4)), strict=True))
+            rows = rows_of(b)
             n = len(rows)
             w, k, total, damaged = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
-            for at, raw, tables in _fetch(rows):
-                got = _decoded(raw, tables)
-                if got is None:
+            for at, g in decoded(rows):
+                if not g.planes:
                     continue
-                gray = gray_of(got.planes, precision)
-                w[at], k[at] = (gray > white).sum(axis=(1, 2)), (gray < black).sum(axis=(1, 2))
-                total[at], damaged[at] = gray.shape[1] * gray.shape[2], got.damaged
+                gray = gray_of(g.planes, precision)
+                w[at], k[at] = np.count_nonzero(gray > white, axis=(1, 2)), np.count_nonzero(gray < black, axis=(1, 2))
+                total[at], damaged[at] = gray.shape[1] * gray.shape[2], g.damaged
             counts = [pa.array(c, pa.int64(), mask=damaged) for c in (w, k, total)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *counts, pa.array(damaged)], names=["slide_id", "tile_id", "white", "black", "n", "damaged"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(b.schema.get_field_index("tile_id")), *counts, pa.array(damaged)], names=[c.split()[0] for c in COUNTS])
 
-    return src.mapInArrow(run, "slide_id string, tile_id long, white long, black long, n long, damaged boolean")
+    return index.where(F.col("bytecount") > 0).select(*GEOMETRY).mapInArrow(run, ", ".join(COUNTS))
 
 
 def decode_tiles(index: DataFrame) -> DataFrame:
-    """(slide_id, tile_id, rows, columns, rgb, damaged): the pixels of the tiles of an index that have bytes, as one binary."""
-    src = index.where(F.col("bytecount") > 0).select("slide_id", "path", "tile_id", "offset", "bytecount")
+    """The rows of an index that have bytes, with rows, columns, rgb (the pixels as one binary) and damaged."""
+    src = index.where(F.col("bytecount") > 0).select(*GEOMETRY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(zip(*(b.column(k).to_pylist() for k in (1, 3, 4)), strict=True))
-            for at, raw, tables in _fetch(rows):
-                got = _decoded(raw, tables)
-                px = None if got is None else jpeg.rgb(got.planes)
-                bad = np.ones(len(at), bool) if got is None else got.damaged
-                body = pa.array([None if bad[j] else px[j].tobytes() for j in range(len(at))], pa.binary())
+            for at, g in decoded(rows_of(b)):
+                px = jpeg.rgb(g.planes) if g.planes else None
+                body = pa.array([None if g.damaged[j] else px[j].tobytes() for j in range(len(at))], pa.binary())
                 size = [pa.array(np.full(len(at), 0 if px is None else px.shape[k], np.int32)) for k in (1, 2)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), *size, body, pa.array(bad)], names=["slide_id", "tile_id", "rows", "columns", "rgb", "damaged"])
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(at)).columns, *size, body, pa.array(g.damaged)], names=[*b.schema.names, "rows", "columns", "rgb", "damaged"])
 
-    return src.mapInArrow(run, "slide_id string, tile_id long, rows int, columns int, rgb binary, damaged boolean")
+    schema = StructType([src.schema[c] for c in GEOMETRY]).add("rows", "integer").add("columns", "integer").add("rgb", "binary").add("damaged", "boolean")
+    return src.mapInArrow(run, schema)
 
 
-def count_pixels(tiles: DataFrame, white: int = WHITE, black: int = BLACK) -> DataFrame:
-    """As count_tiles, of tiles that are decoded already."""
+def tile_coefficients(index: DataFrame) -> DataFrame:
+    """(slide_id, tile_id, block, k, value): what entropy decoding gives before anything else, for the tiles that have bytes.
+
+    block counts in scan order, k in natural order; zeros are left out, DC is a difference. Damaged tiles give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w, k, n = [], [], []
-            for rgb in b.column(4).to_pylist():
-                gray = None if rgb is None else jpeg.luma_of(np.frombuffer(rgb, np.uint8).reshape(-1, 3))
-                w.append(None if rgb is None else int((gray > white).sum()))
-                k.append(None if rgb is None else int((gray < black).sum()))
-                n.append(None if rgb is None else len(gray))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in (w, k, n)], b.column(5)], names=["slide_id", "tile_id", "white", "black", "n", "damaged"])
-
-    return tiles.mapInArrow(run, "slide_id string, tile_id long, white long, black long, n long, damaged boolean")
+            rows = [r for r in rows_of(b) if r.bytecount > 0]
+            for path in dict.fromkeys(r.path for r in rows):
+                own, f = [r for r in rows if r.path == path], Files(path)
+                try:
+                    raw = [f.read(r.offset, r.bytecount) for r in own]
+                finally:
+                    f.close()
+                for h, at in jpeg.grouped(raw, checked(directory(path)).jpegtables, (own[0].tile_w, own[0].tile_h)):
+                    if h is None:
+                        continue
+                    coefs, bad = jpeg.coefficients([raw[i] for i in at], h)
+                    coefs[bad] = 0
+                    i, block, k = np.nonzero(coefs)
+                    ids = np.array([own[a].tile_id for a in at])
+                    cols = [pa.array([own[0].slide_id] * len(i), pa.string()), pa.array(ids[i]), pa.array(block), pa.array(jpeg.ZIGZAG[k].astype(np.int64)), pa.array(coefs[i, block, k].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["slide_id", "tile_id", "block", "k", "value"])
+
+    return index.where(F.col("bytecount") > 0).select(*GEOMETRY).mapInArrow(run, "slide_id string, tile_id long, block long, k long, value long")
+
+
+def starts(lo: int, n: int, size: int, patch: int, stride: int) -> range:
+    """Where the candidates begin, along one axis of size, that take any of the n pixels from lo on."""
+    last = (size - patch) // stride
+    first = max(0, -(-(lo - patch + 1) // stride))
+    return range(first * stride, (min(last, (lo + n - 1) // stride) + 1) * stride, stride)
+
+
+PARTS = ["slide_id string", "path string", "x long", "y long", "white long", "black long", "damaged boolean"]
+
+
+def _parts(rows: list[Tile], grays: Iterator[tuple[list[int], np.ndarray | None, np.ndarray]], patch: int, stride: int, white: int, black: int) -> Iterator[pa.RecordBatch]:
+    """What each tile adds to each candidate that covers some of it. Empty tiles are black; a whole tile is counted once."""
+    out: list[list] = [[] for _ in PARTS]
+
+    def add(r: Tile, gray: np.ndarray | None, bad: bool) -> None:
+        whole = None
+        left, top = r.tile_col * r.tile_w, r.tile_row * r.tile_h
+        for y in starts(top, r.tile_h, r.height, patch, stride):
+            for x in starts(left, r.tile_w, r.width, patch, stride):
+                y0, y1, x0, x1 = max(0, y - top), min(r.tile_h, y + patch - top), max(0, x - left), min(r.tile_w, x + patch - left)
+                if bad:
+                    got = (0, 0)
+                elif gray is None:
+                    got = (0, (y1 - y0) * (x1 - x0))
+                elif (y0, x0, y1, x1) == (0, 0, r.tile_h, r.tile_w):
+                    whole = got = whole or (np.count_nonzero(gray > white), np.count_nonzero(gray < black))
+                else:
+                    cut = gray[y0:y1, x0:x1]
+                    got = (np.count_nonzero(cut > white), np.count_nonzero(cut < black))
+                for column, v in zip(out, (r.slide_id, r.path, x, y, *got, bad), strict=True):
+                    column.append(v)
+
+    def flush() -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[c.split()[0] for c in PARTS])
+        for c in out:
+            c.clear()
+        return batch
+
+    for r in rows:
+        if r.bytecount <= 0:
+            add(r, None, False)
+    for at, gray, damaged in grays:
+        for j, i in enumerate(at):
+            add(rows[i], None if damaged[j] else gray[j], bool(damaged[j]))
+        if len(out[0]) > 50_000:
+            yield flush()
+    yield flush()
 
 
 def patch_counts(spark: SparkSession, path: str, patch: int = 1024, stride: int = 1024, white: int = WHITE, black: int = BLACK, precision: str = "luma", arrange: Callable[[DataFrame], DataFrame] = lambda index: index, fused: bool = True) -> DataFrame:
     """(slide_id, path, x, y, white, black, total, damaged) of every candidate. Tiles without bytes are black.
 
+    The index is pruned to the tiles that a candidate covers, in partitions of neighbouring tiles cut by bytes. One function
+    reads, decodes and counts them and says what each tile adds to each candidate; a tile is decoded once and, where a
+    candidate takes all of it, counted once, however many candidates share it. What a partition knows of a candidate is
+    summed before the only shuffle, of five numbers per candidate. Any mixture of tile shapes and geometries goes through
+    the same plan.
+
     arrange: lays out the pruned index before tiles are read (partitions, order). fused=False decodes to pixels in one
     function and counts in another, for comparison.
-
-    Patches that are unions of whole tiles add up tile counts (each tile decoded once, however many patches share it); any
-    other geometry counts the parts of each tile that its patches take, still decoding it once.
     """
-    slides = slides_of(spark, path)
-    shapes = [(r.tile_w, r.tile_h) for r in slides.select("tile_w", "tile_h").distinct().collect()]  # a few tile shapes
-    out = None
-    for tw, th in shapes:
-        own = slides.where((F.col("tile_w") == tw) & (F.col("tile_h") == th))
-        index = arrange(index_of(spark, path).where((F.col("tile_w") == tw) & (F.col("tile_h") == th) & covered(patch, stride)))
-        cand = candidates(own.select("slide_id", "path", "w", "h", "ntx"), patch, stride).drop("w", "h")
-        if patch % tw or patch % th or stride % tw or stride % th:
-            part = _cropped(cand, index, patch, tw, th, white, black, precision)
-        else:
-            counts = count_tiles(index, white, black, precision) if fused else count_pixels(decode_tiles(index), white, black)
-            part = _aligned(cand, counts, patch, tw, th)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise OSError(f"no slides at {path}")
-    return out
-
-
-def _aligned(cand: DataFrame, counts: DataFrame, patch: int, tw: int, th: int) -> DataFrame:
-    cover = tile_cover(cand, patch, tw, th, "ntx").drop("ntx")
-    counts = counts.select(F.col("slide_id").alias("c_slide"), F.col("tile_id").alias("c_tile"), F.col("white").alias("c_white"), F.col("black").alias("c_black"), "damaged")
-    both = cover.join(counts, (F.col("slide_id") == F.col("c_slide")) & (F.col("tile_id") == F.col("c_tile")), "left")
-    empty = F.when(F.col("c_slide").isNull(), tw * th).otherwise(0)
-    return both.groupBy("slide_id", "path", "x", "y").agg(
-        F.sum(F.coalesce("c_white", F.lit(0))).alias("white"),
-        F.sum(F.coalesce("c_black", empty)).cast("long").alias("black"),
-        F.lit(patch * patch).cast("long").alias("total"),
-        F.coalesce(F.bool_or("damaged"), F.lit(False)).alias("damaged"),
-    )
-
-
-def _cropped(cand: DataFrame, index: DataFrame, patch: int, tw: int, th: int, white: int, black: int, precision: str) -> DataFrame:
-    cover = unaligned_cover(cand, patch, tw, th, "ntx")
-    tiles = index.select(F.col("slide_id").alias("i_slide"), F.col("tile_id").alias("i_tile"), "offset", "bytecount")
-    parts = cover.join(tiles, (F.col("slide_id") == F.col("i_slide")) & (F.col("tile_id") == F.col("i_tile")), "left")
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    bare = parts.where(F.coalesce("bytecount", F.lit(0)) == 0).select("slide_id", "path", "x", "y", F.lit(0).cast("long").alias("white"), area.alias("black"), F.lit(False).alias("damaged"))
-    full = parts.where(F.col("bytecount") > 0).groupBy("slide_id", "path", "tile_id", "offset", "bytecount").agg(F.collect_list(F.struct("x", "y", "x0", "y0", "x1", "y1")).alias("cuts"))
+    index = arrange(index_of(spark, path).where(covered(patch, stride)).select(*GEOMETRY))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(zip(*(b.column(k).to_pylist() for k in (1, 3, 4)), strict=True))
-            slides, cuts = b.column(0).to_pylist(), b.column(5).to_pylist()
-            out: list[tuple] = []
-            for at, raw, tables in _fetch(rows):
-                got = _decoded(raw, tables)
-                gray = None if got is None else gray_of(got.planes, precision)
-                for j, i in enumerate(at):
-                    bad = got is None or bool(got.damaged[j])
-                    for c in cuts[i]:
-                        g = None if bad else gray[j, c["y0"] : c["y1"], c["x0"] : c["x1"]]
-                        out.append((slides[i], rows[i][0], c["x"], c["y"], 0 if bad else int((g > white).sum()), 0 if bad else int((g < black).sum()), bad))
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            names = ["slide_id", "path", "x", "y", "white", "black", "damaged"]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
-
-    counted = full.mapInArrow(run, "slide_id string, path string, x long, y long, white long, black long, damaged boolean")
-    return counted.unionByName(bare).groupBy("slide_id", "path", "x", "y").agg(F.sum("white").alias("white"), F.sum("black").alias("black"), F.lit(patch * patch).cast("long").alias("total"), F.bool_or("damaged").alias("damaged"))
+            rows = rows_of(b)
+            grays = ((at, gray_of(g.planes, precision) if g.planes else None, g.damaged) for at, g in decoded(rows))
+            yield from _parts(rows, grays, patch, stride, white, black)
+
+    def of_pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, px = rows_of(b), b.column(b.schema.get_field_index("rgb")).to_pylist()
+            grays = (([i], None if p is None else jpeg.luma_of(np.frombuffer(p, np.uint8).reshape(1, rows[i].tile_h, rows[i].tile_w, 3)), np.array([p is None])) for i, p in enumerate(px))
+            yield from _parts(rows, grays, patch, stride, white, black)
+
+    def empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _parts(rows_of(b), iter(()), patch, stride, white, black)
+
+    schema = ", ".join(PARTS)
+    if fused:
+        parts = index.mapInArrow(run, schema)
+    else:
+        parts = decode_tiles(index).mapInArrow(of_pixels, schema).unionByName(index.where(F.col("bytecount") <= 0).mapInArrow(empty, schema))
+    sums = parts.groupBy("slide_id", "path", "x", "y").agg(F.sum("white").alias("white"), F.sum("black").alias("black"), F.bool_or("damaged").alias("damaged"))
+    return sums.select("slide_id", "path", "x", "y", "white", "black", F.lit(patch * patch).cast("long").alias("total"), "damaged")
 
 
 def tissue(spark: SparkSession, path: str, patch: int = 1024, stride: int = 1024, white: int = WHITE, black: int = BLACK, reject: float = REJECT, precision: str = "luma") -> DataFrame:
@@ -215,25 +271,31 @@ def tissue(spark: SparkSession, path: str, patch: int = 1024, stride: int = 1024
 
 
 def patch_pixels(kept: DataFrame, patch: int) -> DataFrame:
-    """kept (with path, x, y) and rgb, the patch's patch x patch x 3 bytes. Each row reads just its own tiles; no shuffle."""
+    """kept (with path, x, y) and rgb, the patch's patch x patch x 3 bytes; null if one of its tiles is damaged.
+
+    Each row reads just its own tiles; no shuffle. Tiles without bytes are black.
+    """
     at = [kept.columns.index(c) for c in ("path", "x", "y")]
 
+    def pixels(path: str, x: int, y: int) -> bytes | None:
+        d = checked(directory(path))
+        out = np.zeros((patch, patch, 3), np.uint8)
+        tiles = [Tile(d.slide_id, path, d.width, d.height, d.tile_w, d.tile_h, k, r, c, int(d.offsets[k]), int(d.bytecounts[k])) for r in range(y // d.tile_h, -(-(y + patch) // d.tile_h)) for c in range(x // d.tile_w, -(-(x + patch) // d.tile_w)) for k in [r * d.ntx + c]]
+        for some, g in decoded(tiles):
+            if g.damaged.any():
+                return None
+            px = jpeg.rgb(g.planes)
+            for k, i in enumerate(some):
+                top, left = tiles[i].tile_row * d.tile_h - y, tiles[i].tile_col * d.tile_w - x
+                y0, x0, y1, x1 = max(0, top), max(0, left), min(patch, top + d.tile_h), min(patch, left + d.tile_w)
+                out[y0:y1, x0:x1] = px[k, y0 - top : y1 - top, x0 - left : x1 - left]
+        return out.tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                path, x, y = (row.column(k)[0].as_py() for k in at)
-                d = checked(directory(path))
-                out = np.zeros((patch, patch, 3), np.uint8)
-                ids = [(r, c) for r in range(y // d.tile_h, -(-(y + patch) // d.tile_h)) for c in range(x // d.tile_w, -(-(x + patch) // d.tile_w))]
-                wanted = [(r, c) for r, c in ids if d.bytecounts[r * d.ntx + c]]
-                for some, raw, tables in _fetch([(path, int(d.offsets[r * d.ntx + c]), int(d.bytecounts[r * d.ntx + c])) for r, c in wanted]):
-                    px = jpeg.rgb(jpeg.decode(raw, tables).planes)
-                    for k, j in enumerate(some):
-                        r, c = wanted[j]
-                        top, left = r * d.tile_h - y, c * d.tile_w - x
-                        y0, x0, y1, x1 = max(0, top), max(0, left), min(patch, top + d.tile_h), min(patch, left + d.tile_w)
-                        out[y0:y1, x0:x1] = px[k, y0 - top : y1 - top, x0 - left : x1 - left]
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([out.tobytes()], pa.binary())], names=[*row.schema.names, "rgb"])
+                body = pixels(*(row.column(k)[0].as_py() for k in at))
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([body], pa.binary())], names=[*row.schema.names, "rgb"])
 
     return kept.mapInArrow(run, StructType(list(kept.schema.fields)).add("rgb", "binary"))

@@ -1,17 +1,21 @@
 """Baseline JPEG decoding after ITU-T T.81, vectorised across tiles.
 
-A batch of tiles is decoded in lock step: in each step every tile that is not done reads one Huffman symbol, looked up by the
-next 16 bits, with the bits of its value. State is a handful of arrays with one element per tile, so the cost of a step is
-shared by the batch. Everything after the entropy coding is matrix work on all blocks at once.
-
-Supported: 8-bit baseline, three components, no restart intervals, any whole-number sampling whose chroma is not finer than
-its luma. Bits past the end read as zero, as a truncated scan would be filled; decode() reports such tiles as damaged.
+Tiles that share tables and geometry are decoded in lock step: in each step every tile that is not done looks up one Huffman
+symbol by its next 16 bits and moves on. A step only records where it stood and what it found; the values behind the symbols
+are taken from the record in bulk, so a step is a dozen operations on one element per tile. Everything after that is matrix
+work on all blocks at once, and blocks without AC coefficients skip it.
+
+Supported: 8-bit baseline, no restart intervals, one component (grey), three, or four (the fourth, alpha, is dropped), any
+whole-number sampling whose chroma is not finer than its luma. What a tile decodes to depends on the tile and its tables only,
+never on its neighbours in the batch; a tile that cannot be decoded is reported as damaged and the others go on.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -33,29 +37,47 @@ class JpegError(ValueError):
     pass
 
 
+#: Steps between two looks at which tiles are done, and the most compressed bytes that are decoded together.
+STEPS, MOST_BYTES = 512, 16 << 20
+#: Tiles whose blocks are transformed together.
+PLANE_STEP = 4
+
+
 @dataclass
 class Header:
     """What the marker segments before the scan say. Tables may come from one stream and the frame from another."""
 
-    quant: dict[int, np.ndarray] = field(default_factory=dict)
-    huffman: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
+    quant: dict[int, tuple[int, ...]] = field(default_factory=dict)  # in stored order
+    huffman: dict[tuple[int, int], tuple[bytes, bytes]] = field(default_factory=dict)  # code counts by length, symbols
     width: int = 0
     height: int = 0
-    parts: list[tuple[int, int, int, int]] = field(default_factory=list)  # id, h, v, quant table
+    parts: tuple[tuple[int, int, int, int], ...] = ()  # id, h, v, quant table
     coding: dict[int, tuple[int, int]] = field(default_factory=dict)  # id -> DC, AC table
     scan: int = 0  # where the entropy-coded bytes begin
 
+    def key(self) -> tuple:
+        """Equal for tiles that can be decoded in lock step: the geometry and the tables in force, by content."""
+        return (self.width, self.height, self.parts, tuple((self.quant[p[3]], self.huffman[0, self.coding[p[0]][0]], self.huffman[1, self.coding[p[0]][1]]) for p in self.parts))
+
 
-def lookup(lengths: bytes, symbols: bytes) -> np.ndarray:
-    """Table by the next 16 bits: length of the code << 8 | symbol; 0 where no code matches."""
-    out = np.zeros(1 << 16, np.int32)
+@lru_cache(maxsize=64)
+def lookup(lengths: bytes, symbols: bytes, ac: bool) -> np.ndarray:
+    """What the next 16 bits say, packed: bits to move on (6), 63 if the block ends (6), bits of the value (4), run of zeros.
+
+    No code or an impossible symbol moves on by 63 bits, which no valid symbol does.
+    """
+    out = np.full(1 << 16, 63, np.int64)
     at = k = 0
     for n, how_many in enumerate(lengths, start=1):
         for _ in range(how_many):
             span = 1 << (16 - n)
             if at + span > 1 << 16 or k >= len(symbols):
                 raise JpegError("Huffman table is not a prefix code")
-            out[at : at + span] = n << 8 | symbols[k]
+            run, size = (symbols[k] >> 4, symbols[k] & 15) if ac else (0, symbols[k])
+            if ac and not size and run != 15:
+                out[at : at + span] = n | 63 << 6
+            elif size < 16:
+                out[at : at + span] = n + size | size << 12 | run << 16
             at += span
             k += 1
     return out
@@ -81,20 +103,19 @@ def read_segments(data: bytes, into: Header) -> Header:
             k = 0
             while k < len(body):
                 wide, name = body[k] >> 4, body[k] & 15
-                step = 128 if wide else 64
-                into.quant[name] = np.frombuffer(body, ">u2" if wide else "u1", 64, k + 1).astype(np.float32)
-                k += 1 + step
+                into.quant[name] = struct.unpack_from(">64H" if wide else ">64B", body, k + 1)
+                k += 129 if wide else 65
         elif kind == 0xC4:
             k = 0
             while k < len(body):
                 n = sum(body[k + 1 : k + 17])
-                into.huffman[body[k] >> 4, body[k] & 15] = lookup(body[k + 1 : k + 17], body[k + 17 : k + 17 + n])
+                into.huffman[body[k] >> 4, body[k] & 15] = body[k + 1 : k + 17], body[k + 17 : k + 17 + n]
                 k += 17 + n
         elif kind == 0xC0:
             depth, into.height, into.width, n = struct.unpack_from(">BHHB", body)
             if depth != 8:
                 raise JpegError("only 8-bit samples")
-            into.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+            into.parts = tuple((body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n))
         elif 0xC1 <= kind <= 0xCF and kind != 0xC8:
             raise JpegError("only baseline coding")
         elif kind == 0xDD and struct.unpack_from(">H", body)[0]:
@@ -107,9 +128,24 @@ def read_segments(data: bytes, into: Header) -> Header:
     return into
 
 
-def splice(tables: bytes, tile: bytes) -> bytes:
-    """A complete stream of an abbreviated tile and the tables it refers to."""
-    return tile[:2] + tables[2:-2] + tile[2:] if tables else tile
+@lru_cache(maxsize=16)
+def shared_tables(tables: bytes) -> Header:
+    """The tables that a slide's tiles share; unreadable ones are as good as none, and the tiles that need them are damaged."""
+    try:
+        return read_segments(tables, Header()) if tables else Header()
+    except (JpegError, IndexError, struct.error):
+        return Header()
+
+
+def header_of(tile: bytes, shared: Header) -> Header | None:
+    """The tile's header over the shared tables; None if it cannot be decoded."""
+    try:
+        h = read_segments(tile, Header(dict(shared.quant), dict(shared.huffman)))
+        h.key()  # every table that the frame names is there
+    except (JpegError, IndexError, KeyError, struct.error):
+        return None
+    ok = h.scan and h.width and h.height and len(h.parts) in (1, 3, 4) and all(1 <= p[1] <= 4 and 1 <= p[2] <= 4 for p in h.parts)
+    return h if ok and all(h.parts[0][k] % p[k] == 0 for p in h.parts for k in (1, 2)) else None
 
 
 def entropy_bytes(tile: bytes, start: int) -> tuple[bytes, bool]:
@@ -119,128 +155,208 @@ def entropy_bytes(tile: bytes, start: int) -> tuple[bytes, bool]:
 
 
 @dataclass
-class Decoded:
-    planes: list[np.ndarray]  # per component (n, rows, columns) uint8, cut to the image
-    damaged: np.ndarray  # per tile
-
-
-def decode(tiles: list[bytes], tables: bytes = b"") -> Decoded:
-    """Planes of tiles of one geometry. A tile that breaks off, has an impossible code or another geometry is damaged."""
-    shared = read_segments(tables, Header()) if tables else Header()
-    heads: list[Header | None] = []
-    for t in tiles:
-        try:
-            heads.append(read_segments(t, Header(dict(shared.quant), dict(shared.huffman))))
-        except (JpegError, IndexError, struct.error, ValueError):
-            heads.append(None)
-    first = next((h for h in heads if h and h.parts and h.scan), None)
-    if first is None:
-        raise JpegError("no tile with a frame and a scan")
-    if len(first.parts) != 3:
-        raise JpegError("three components expected")
-    damaged = np.array([h is None or (h.width, h.height, h.parts, h.coding) != (first.width, first.height, first.parts, first.coding) or not h.scan for h in heads])
-    # Tiles that bring tables of their own are decoded with them: group by the tables' bytes.
-    groups: dict[bytes, list[int]] = {}
+class Group:
+    """Tiles of one geometry: their positions in the batch, planes by component, and which of them are damaged."""
+
+    at: np.ndarray
+    planes: list[np.ndarray]  # (n, rows, columns) uint8, cut to the image; none if the tiles could not be read at all
+    damaged: np.ndarray
+
+
+def grouped(tiles: list[bytes], tables: bytes, size: tuple[int, int] | None) -> Iterator[tuple[Header | None, list[int]]]:
+    """Tiles that go in lock step, by header; under None those that cannot be decoded or are not of size (width, height)."""
+    shared = shared_tables(tables)
+    heads = [header_of(t, shared) for t in tiles]
+    groups: dict[tuple | None, list[int]] = {}
     for i, h in enumerate(heads):
-        if h is not None and not damaged[i]:
-            key = b"".join(v.tobytes() for _, v in sorted(h.huffman.items())) + b"".join(v.tobytes() for _, v in sorted(h.quant.items())) if not tables else b""
-            groups.setdefault(key, []).append(i)
-    hm, vm = max(p[1] for p in first.parts), max(p[2] for p in first.parts)
-    across, down = -(-first.width // (8 * hm)), -(-first.height // (8 * vm))
-    planes = [np.zeros((len(tiles), -(-first.height * p[2] // vm), -(-first.width * p[1] // hm)), np.uint8) for p in first.parts]
-    for at in groups.values():
-        coefs, broken = _entropy([tiles[i] for i in at], [heads[i] for i in at], across * down)
-        damaged[np.array(at)[broken]] = True
-        for out, plane in zip(planes, _planes(coefs, heads[at[0]], across, down), strict=True):
-            out[at] = plane[:, : out.shape[1], : out.shape[2]]
-    return Decoded(planes, damaged)
-
-
-def _entropy(tiles: list[bytes], heads: list[Header], n_mcu: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients (tile, block in scan order, 64), DC as differences, in natural order; and which tiles broke."""
-    h = heads[0]
-    pattern = [c for c, p in enumerate(h.parts) for _ in range(p[1] * p[2])]
-    try:
-        luts = np.concatenate([h.huffman[kind, h.coding[p[0]][kind]] for p in h.parts for kind in (0, 1)])
-    except KeyError as e:
-        raise JpegError(f"missing table {e}") from e
-    table_of = np.array([2 * c for c in pattern], np.int64) << 16
-    n, per, n_blocks = len(tiles), len(pattern), n_mcu * len(pattern)
-    scans, whole = zip(*(entropy_bytes(t, x.scan) for t, x in zip(tiles, heads, strict=True)), strict=True)
+        groups.setdefault(None if h is None or size not in (None, (h.width, h.height)) else h.key() + (h.scan,), []).append(i)
+    for key, at in groups.items():
+        held, first = 0, 0
+        for k, i in enumerate(at):  # runs of bounded bytes
+            if held > MOST_BYTES:
+                yield (None if key is None else heads[at[0]]), at[first:k]
+                held, first = 0, k
+            held += len(tiles[i])
+        yield (None if key is None else heads[at[0]]), at[first:]
+
+
+def decode(tiles: list[bytes], tables: bytes = b"", size: tuple[int, int] | None = None) -> Iterator[Group]:
+    """The tiles' planes, in groups of like tiles. A tile that breaks off or has an impossible code is damaged, and so is
+    one that is not of size (width, height), if that is given."""
+    for h, at in grouped(tiles, tables, size):
+        got = None
+        if h is not None:
+            try:
+                got = coefficients([tiles[i] for i in at], h)
+            except JpegError:  # tables that are no prefix code
+                pass
+        if got is None:
+            yield Group(np.array(at), [], np.ones(len(at), bool))
+            continue
+        for k in range(0, len(at), PLANE_STEP):
+            yield Group(np.array(at[k : k + PLANE_STEP]), _planes(got[0][k : k + PLANE_STEP], h), got[1][k : k + PLANE_STEP])
+
+
+def shape_of(h: Header) -> tuple[int, int, list[int]]:
+    """MCUs across and down, and the component of each block of an MCU."""
+    hm, vm = h.parts[0][1], h.parts[0][2]
+    return -(-h.width // (8 * hm)), -(-h.height // (8 * vm)), [c for c, p in enumerate(h.parts) for _ in range(p[1] * p[2])]
+
+
+def coefficients(tiles: list[bytes], h: Header) -> tuple[np.ndarray, np.ndarray]:
+    """(tile, block in scan order, 64) in stored order, DC as differences; and which tiles are damaged.
+
+    State per tile: the next bit, and q, the next coefficient counted through all blocks of the tile.
+    """
+    across, down, pattern = shape_of(h)
+    names = [(*h.huffman[kind, h.coding[p[0]][kind]], bool(kind)) for p in h.parts for kind in (0, 1)]
+    kinds = sorted(set(names))
+    lut = np.concatenate([lookup(*k) for k in kinds])
+    of_mcu = np.array([kinds.index(names[2 * c + (k > 0)]) << 16 for c in pattern for k in range(64)], np.int64)
+    table_of = np.tile(of_mcu, across * down)
+    n, total = len(tiles), len(table_of)
+    scans, whole = zip(*(entropy_bytes(t, h.scan) for t in tiles), strict=True)
     sizes = np.array([len(s) for s in scans], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + 16)[:-1]])  # zeros after each scan
-    blob = np.zeros(int((sizes + 16).sum()) + 8, np.uint8)
-    for s, a in zip(scans, starts, strict=True):
-        blob[a : a + len(s)] = np.frombuffer(s, np.uint8)
-    view = np.zeros(len(blob) - 7, np.uint64)
+    starts = np.cumsum(sizes + 4) - (sizes + 4)  # zeros after each scan
+    blob = np.frombuffer(b"".join(s + b"\0\0\0\0" for s in scans), np.uint8)
+    wide = np.zeros(len(blob), np.uint32)
+    wide[:-2] = blob[:-2].astype(np.uint32) << 16 | blob[1:-1].astype(np.uint32) << 8 | blob[2:]
+    view = np.empty((len(blob), 8), np.uint16)  # the 16 bits from each bit on
     for k in range(8):
-        view = (view << np.uint64(8)) | blob[k : len(blob) - 7 + k]
-    coefs = np.zeros((n, n_blocks, 64), np.int16)
+        view[:, k] = (wide >> np.uint32(8 - k)) & np.uint32(0xFFFF)
+    view = view.reshape(-1)
+    coefs = np.zeros((n, total), np.int16)
     flat = coefs.reshape(-1)
-    zz = np.concatenate([ZIGZAG, np.zeros(80, np.int64)])
     broken = ~np.array(whole)
-    live = np.arange(n)
-    pos, stop = starts * 8, (starts + sizes) * 8
-    block, k = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    base = live * n_blocks
+    live, pos, q = np.arange(n), starts * 8, np.zeros(n, np.int64)
+    stop = (starts + sizes) * 8
     while len(live):
-        ahead = view[pos >> 3] << (pos & 7).astype(np.uint64)
-        table = table_of[block % per] + ((k > 0).astype(np.int64) << 16)
-        e = luts[table + (ahead >> np.uint64(48)).astype(np.int64)]
-        length, symbol = e >> 8, e & 255
-        size = symbol & 15
-        run = np.where(k > 0, symbol >> 4, 0)
-        bits = ((ahead << length.astype(np.uint64)) >> np.uint64(32)).astype(np.int64) >> (32 - size)
-        value = np.where(bits < (1 << size) >> 1, bits - (1 << size) + 1, bits)
-        pos = pos + length + size
-        eob = (k > 0) & (symbol == 0)
-        to = k + run
-        put = (size > 0) & (to < 64)
-        flat[((base + block) * 64 + zz[np.minimum(to, 143)])[put]] = value[put]
-        k = np.where(eob, 64, to + 1)
-        over = k >= 64
-        block = block + over
-        k = np.where(over, 0, k)
-        bad = (length == 0) | (pos > stop)
-        if bad.any() or (over & (block >= n_blocks)).any():
-            broken[live[bad]] = True
-            on = ~bad & (block < n_blocks)
-            live, pos, stop, block, k, base = live[on], pos[on], stop[on], block[on], k[on], base[on]
-    return coefs, np.nonzero(broken)[0]
-
-
-def _planes(coefs: np.ndarray, h: Header, across: int, down: int) -> list[np.ndarray]:
+        m = len(live)
+        p_at, q_at, e_at = np.empty((STEPS + 1, m), np.int64), np.empty((STEPS + 1, m), np.int64), np.empty((STEPS, m), np.int64)
+        p_at[0], q_at[0] = pos, q
+        bits, a, b = np.empty(m, np.uint16), np.empty(m, np.int64), np.empty(m, np.int64)
+        one, six, ten_six, low = (np.full(m, c, np.int64) for c in (1, 6, 16, 63))  # numpy is slower with Python's numbers
+        for t in range(STEPS):
+            p, k, e = p_at[t], q_at[t], e_at[t]
+            view.take(p, out=bits, mode="clip")
+            table_of.take(k, out=a, mode="clip")
+            np.add(a, bits, out=a)
+            lut.take(a, out=e, mode="clip")
+            np.bitwise_and(e, low, out=a)
+            np.add(p, a, out=p_at[t + 1])
+            np.right_shift(e, ten_six, out=a)
+            np.add(k, a, out=a)
+            np.right_shift(e, six, out=b)
+            np.bitwise_and(b, low, out=b)
+            np.bitwise_or(a, b, out=a)
+            np.add(a, one, out=q_at[t + 1])
+        e, p, k = e_at.reshape(-1), p_at[:-1].reshape(-1), q_at[:-1].reshape(-1)
+        some = np.flatnonzero(e & (15 << 12))  # symbols with a value
+        e, k = e[some], k[some]
+        size, to = (e >> 12) & 15, k + (e >> 16)
+        lane = np.broadcast_to(np.arange(m), e_at.shape).reshape(-1)[some]
+        value = view[np.minimum(p[some] + (e & 63) - size, len(view) - 1)].astype(np.int64) >> (16 - size)
+        value -= np.where(value >> (size - 1), 0, (1 << size) - 1)
+        own = k < total  # a tile that is done goes on idly to the end of the round
+        bad = np.zeros(m, bool)
+        bad[lane[own & ((to ^ k) > 63)]] = True
+        for j in np.nonzero((p_at[-1] > stop) | (e_at == 63).any(axis=0))[0]:  # was that before the tile was done?
+            there = q_at[:-1, j] < total
+            bad[j] |= bool((there & ((e_at[:, j] == 63) | (p_at[1:, j] > stop[j]))).any())
+        put = own & ~bad[lane] if bad.any() or (q_at[-1] >= total).any() else slice(None)
+        flat[live[lane[put]] * total + to[put]] = value[put]
+        broken[live[bad]] = True
+        on = ~bad & (q_at[-1] < total)
+        live, pos, q, stop = live[on], p_at[-1][on], q_at[-1][on], stop[on]
+    return coefs.reshape(n, -1, 64), broken
+
+
+@lru_cache(maxsize=32)
+def transform_of(quant: tuple[int, ...]) -> np.ndarray:
+    """Dequantisation and inverse transform of a block's 64 stored coefficients as one matrix."""
+    out = np.einsum("vy,ux->vuyx", BASIS.astype(np.float64), BASIS.astype(np.float64)).reshape(64, 64)[ZIGZAG]
+    return (out * np.array(quant, np.float64)[:, None]).astype(np.float32)
+
+
+def _planes(coefs: np.ndarray, h: Header) -> list[np.ndarray]:
     """Undo prediction and quantisation, transform back and lay the blocks out. Rounded half-even, clamped."""
     n, out, lead = len(coefs), [], 0
-    per = sum(p[1] * p[2] for p in h.parts)
-    by_mcu = coefs.reshape(n, across * down, per, 64)
-    for _, hs, vs, q in h.parts:
-        own = by_mcu[:, :, lead : lead + hs * vs].reshape(n, -1, 64).astype(np.float32)
+    across, down, pattern = shape_of(h)
+    hm, vm = h.parts[0][1], h.parts[0][2]
+    by_mcu = coefs.reshape(n, across * down, len(pattern), 64)
+    for _, hs, vs, q in h.parts[:3]:
+        own = np.ascontiguousarray(by_mcu[:, :, lead : lead + hs * vs]).reshape(-1, 64)
         lead += hs * vs
-        own[:, :, 0] = np.cumsum(own[:, :, 0], axis=1)
-        scale = np.zeros(64, np.float32)
-        scale[ZIGZAG] = h.quant[q]
-        own *= scale
-        grid = np.matmul(BASIS.T, np.matmul(own.reshape(-1, 8, 8), BASIS))
-        px = np.clip(np.rint(grid) + 128, 0, 255).astype(np.uint8)
-        px = px.reshape(n, down, across, vs, hs, 8, 8).transpose(0, 1, 3, 5, 2, 4, 6)
-        out.append(px.reshape(n, down * vs * 8, across * hs * 8))
+        dc = np.cumsum(own[:, 0].reshape(n, -1), axis=1, dtype=np.int32).reshape(-1).astype(np.float32)
+        matrix = transform_of(h.quant[q])
+        words = own.view(np.int64)
+        rich = np.nonzero((words[:, 1:] != 0).any(axis=1) | own[:, 1:4].any(axis=1))[0]
+        level = np.clip(np.rint(dc * matrix[0, 0]) + 128, 0, 255).astype(np.uint8)
+        px = np.repeat(level, 64).reshape(-1, 64)  # blocks of DC only are flat
+        if len(rich):
+            some = own[rich].astype(np.float32)
+            some[:, 0] = dc[rich]
+            grid = some @ matrix
+            np.rint(grid, out=grid)
+            grid += 128
+            np.clip(grid, 0, 255, out=grid)
+            px[rich] = grid.astype(np.uint8)
+        px = px.reshape(n, down, across, vs, hs, 8, 8).transpose(0, 1, 3, 5, 2, 4, 6).reshape(n, down * vs * 8, across * hs * 8)
+        out.append(px[:, : -(-h.height * vs // vm), : -(-h.width * hs // hm)])
     return out
 
 
 def upsample(plane: np.ndarray, rows: int, columns: int) -> np.ndarray:
     """Nearest-neighbour upsampling to the luma size."""
     v, h = -(-rows // plane.shape[1]), -(-columns // plane.shape[2])
-    return plane.repeat(v, axis=1).repeat(h, axis=2)[:, :rows, :columns]
+    if v == h == 1:
+        return plane
+    out = np.empty((len(plane), plane.shape[1] * v, plane.shape[2] * h), plane.dtype)
+    for i in range(v):
+        for j in range(h):
+            out[:, i::v, j::h] = plane
+    return out[:, :rows, :columns]
+
+
+def _near(x: np.ndarray) -> np.ndarray:
+    """Rounded half up, as the relational form does."""
+    return np.floor(x + 0.5).astype(np.int16)
+
+
+#: What chroma adds to luma for each channel. Luma is whole, so rounding the sum is rounding the summand.
+_CHROMA = np.arange(256) - 128.0
+_RED, _BLUE = _near(RED_CR * _CHROMA), _near(BLUE_CB * _CHROMA)
+_GREEN = _near(-GREEN_CB * _CHROMA[:, None] - GREEN_CR * _CHROMA[None])
+
+
+def channels(planes: list[np.ndarray]) -> list[np.ndarray]:
+    """Red, green and blue (n, rows, columns) int16, clamped, of full-range YCbCr planes; grey for a single plane."""
+    y = planes[0].astype(np.int16)
+    if len(planes) == 1:
+        return [y, y, y]
+    cb, cr = planes[1], planes[2]
+    parts = (_RED[cr], _GREEN[cb, cr] if cb.shape == cr.shape else _GREEN[upsample(cb, *y.shape[1:]), upsample(cr, *y.shape[1:])], _BLUE[cb])
+    return [np.clip(y + upsample(p, *y.shape[1:]), 0, 255) for p in parts]
 
 
 def rgb(planes: list[np.ndarray]) -> np.ndarray:
-    """(n, rows, columns, 3) uint8 of full-range YCbCr planes."""
-    y = planes[0].astype(np.float32)
-    cb, cr = (upsample(p, *y.shape[1:]).astype(np.float32) - 128 for p in planes[1:])
-    red, gb, gr, blue = (np.float32(v) for v in (RED_CR, GREEN_CB, GREEN_CR, BLUE_CB))
-    parts = (y + red * cr, y - gb * cb - gr * cr, y + blue * cb)
-    return np.stack([np.clip(np.rint(p), 0, 255).astype(np.uint8) for p in parts], axis=-1)
+    """(n, rows, columns, 3) uint8."""
+    return np.stack([c.astype(np.uint8) for c in channels(planes)], axis=-1)
+
+
+def luma(planes: list[np.ndarray]) -> np.ndarray:
+    """Integer luma of the planes' RGB, (n, rows, columns) uint8, without laying the pixels out."""
+    if len(planes) == 1:
+        return planes[0]
+    r, g, b = (c.astype(np.int32) for c in channels(planes))
+    r *= LUMA_R
+    g *= LUMA_G
+    b *= LUMA_B
+    r += g
+    r += b
+    r += LUMA_HALF
+    r >>= LUMA_BITS
+    return r.astype(np.uint8)
 
 
 def luma_of(pixels: np.ndarray) -> np.ndarray:

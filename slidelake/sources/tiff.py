@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SLIDES = "slide_id string, path string, width int, height int, tile_w int, tile_h int, compression int, jpegtables binary"
+SLIDES = "slide_id string, path string, width int, height int, tile_w int, tile_h int, compression int, jpegtables binary, error string"
 INDEX = "slide_id string, path string, width int, height int, tile_w int, tile_h int, tile_id bigint, tile_row int, tile_col int, ntx bigint, offset bigint, bytecount bigint"
 TILES = INDEX + ", raw binary"
 JPEG = 7
@@ -93,14 +93,20 @@ def read_directory(path: str) -> Directory:
             width, code = TYPES[kind]
             size = width * how_many
             body = raw[12 * k + 8 : 12 * k + 8 + size] if size <= 4 else f.read(struct.unpack_from(order + "I", raw, 12 * k + 8)[0], size)
+            if len(body) < size:
+                raise ValueError(f"{path} has a cut directory")
             tags[tag] = np.frombuffer(body, order + {"B": "u1", "H": "u2", "I": "u4"}[code], how_many)
         missing = [t for t in (WIDTH, HEIGHT) if t not in tags]
-        if missing or TILE_WIDTH not in tags or OFFSETS not in tags:
+        if missing or any(t not in tags for t in (TILE_WIDTH, TILE_HEIGHT, OFFSETS, BYTECOUNTS)):
             raise ValueError(f"{path} is not tiled")
+        if any(len(tags[t]) and tags[t].min() < 1 for t in (WIDTH, HEIGHT, TILE_WIDTH, TILE_HEIGHT)):
+            raise ValueError(f"{path} has an empty geometry")
+        n_tiles = -(-int(tags[WIDTH][0]) // int(tags[TILE_WIDTH][0])) * -(-int(tags[HEIGHT][0]) // int(tags[TILE_HEIGHT][0]))
+        if len(tags[OFFSETS]) < n_tiles or len(tags[BYTECOUNTS]) < n_tiles:
+            raise ValueError(f"{path} has a cut tile index")
         one = lambda t, default=0: int(tags[t][0]) if t in tags else default
         tables = tags[JPEGTABLES].tobytes() if JPEGTABLES in tags else b""
-        stem = os.path.splitext(os.path.basename(path))[0]
-        return Directory(stem, path, one(WIDTH), one(HEIGHT), one(TILE_WIDTH), one(TILE_HEIGHT), one(COMPRESSION, 1), tables, tags[OFFSETS].astype(np.int64), tags[BYTECOUNTS].astype(np.int64))
+        return Directory(stem(path), path, one(WIDTH), one(HEIGHT), one(TILE_WIDTH), one(TILE_HEIGHT), one(COMPRESSION, 1), tables, tags[OFFSETS][:n_tiles].astype(np.int64), tags[BYTECOUNTS][:n_tiles].astype(np.int64))
     finally:
         f.close()
 
@@ -117,70 +123,112 @@ def directory(path: str) -> Directory:
     return read_directory(path)
 
 
-def list_slides(path: str) -> list[str]:
-    """Paths of a file, a folder's .tif and .tiff files, or several of either joined by commas."""
-    out: list[str] = []
+def stem(path: str) -> str:
+    return os.path.splitext(os.path.basename(path))[0]
+
+
+def listed(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of a file, of a folder's .tif and .tiff files, or of several of either joined by commas. No file is opened."""
+    out: list[tuple[str, int]] = []
     for p in filter(None, (x.strip() for x in path.split(","))):
         if "://" in p and not p.startswith("file:"):
             fs, inner = pafs.FileSystem.from_uri(p)
             info = fs.get_file_info(inner)
             if info.type == pafs.FileType.Directory:
                 scheme = p.split("://", 1)[0] + "://"
-                out += sorted(scheme + i.path for i in fs.get_file_info(pafs.FileSelector(inner)) if i.path.endswith((".tif", ".tiff")))
-                continue
-        elif os.path.isdir(p):
-            out += sorted(os.path.join(p, x) for x in os.listdir(p) if x.endswith((".tif", ".tiff")))
+                out += sorted((scheme + i.path, i.size or 0) for i in fs.get_file_info(pafs.FileSelector(inner)) if i.path.endswith((".tif", ".tiff")))
+            else:
+                out.append((p, info.size or 0))
             continue
-        out.append(p)
+        local = p.removeprefix("file://").removeprefix("file:")
+        if os.path.isdir(local):
+            with os.scandir(local) as entries:
+                out += sorted((e.path, e.stat().st_size) for e in entries if e.name.endswith((".tif", ".tiff")))
+        else:
+            out.append((p, os.stat(local).st_size if os.path.exists(local) else 0))
     return out
 
 
+def one_file(path: str) -> bool:
+    """Whether the path names a single file, whose faults are raised; a folder's bad files are set aside."""
+    got = listed(path)
+    return len(got) == 1 and got[0][0] == path.strip()
+
+
 @dataclass
-class TileRange(InputPartition):
-    path: str
-    first: int
-    last: int
+class Part(InputPartition):
+    """Slides by their headers, or part k of n of one slide's tiles, cut by their bytes."""
+
+    paths: tuple[str, ...]
+    k: int = 0
+    n: int = 1
 
 
 class TiffReader(DataSourceReader):
+    """Planned from file sizes alone: directories are read in tasks.
+
+    partitionbytes: bytes of a slide per task. onerror: "raise", or "skip" slides that cannot be read or decoded (in mode
+    slides they are rows with an error).
+    """
+
     def __init__(self, options: dict[str, str]) -> None:
         options = {k.lower(): v for k, v in options.items()}  # Spark's own map ignores case and gives lower case back
-        self.paths = list_slides(options.get("path", ""))
+        self.path = options.get("path", "")
         self.mode = options.get("mode", "tiles")
-        self.bytes = int(options.get("partitionbytes", 64 << 20))
+        self.bytes = max(1, int(options.get("partitionbytes", 8 << 20)))
+        self.headers = max(1, int(options.get("headers", 32)))
         self.skip_empty = options.get("skipempty", "false").lower() == "true"
+        self.skip = options.get("onerror", "raise").lower() == "skip"
         if self.mode not in ("slides", "index", "tiles"):
             raise ValueError("mode is slides, index or tiles")
 
     def partitions(self) -> list[InputPartition]:
-        """Slides one by one for headers; else runs of neighbouring tiles of about partitionBytes."""
-        out: list[InputPartition] = []
-        for path in self.paths:
-            if self.mode == "slides":
-                out.append(TileRange(path, 0, 0))
-                continue
-            sizes = read_directory(path).bytecounts
-            bins = np.cumsum(sizes if self.mode == "tiles" else np.full(len(sizes), 64)) // self.bytes
-            cuts = np.concatenate([[0], np.nonzero(np.diff(bins))[0] + 1, [len(sizes)]])
-            out += [TileRange(path, int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-        return out
-
-    def read(self, partition: TileRange) -> Iterator[pa.RecordBatch]:
-        d = read_directory(partition.path)
+        files = listed(self.path)
         if self.mode == "slides":
-            values = (d.slide_id, d.path, d.width, d.height, d.tile_w, d.tile_h, d.compression, d.jpegtables)
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            names = [c.split()[0] for c in SLIDES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+            return [Part(tuple(p for p, _ in files[k : k + self.headers])) for k in range(0, len(files), self.headers)]
+        return [Part((p,), k, n) for p, size in files for n in [max(1, -(-size // self.bytes))] for k in range(n)]
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        if self.mode == "slides":
+            yield self._headers(part.paths)
             return
-        step = 64 if self.mode == "tiles" else 65_536
-        f = Files(partition.path) if self.mode == "tiles" else None
         try:
-            for a in range(partition.first, partition.last, step):
-                ids = np.arange(a, min(a + step, partition.last))
-                if self.skip_empty:
-                    ids = ids[d.bytecounts[ids] > 0]
-                cols = [pa.array([d.slide_id] * len(ids), pa.string()), pa.array([d.path] * len(ids), pa.string()), *[pa.array(np.full(len(ids), v, np.int32)) for v in (d.width, d.height, d.tile_w, d.tile_h)], pa.array(ids), pa.array((ids // d.ntx).astype(np.int32)), pa.array((ids % d.ntx).astype(np.int32)), pa.array(np.full(len(ids), d.ntx, np.int64)), pa.array(d.offsets[ids]), pa.array(d.bytecounts[ids])]
+            d = read_directory(part.paths[0])
+            if self.skip:
+                checked(d)
+        except (ValueError, OSError):
+            if self.skip:
+                return
+            raise
+        yield from self._tiles(d, part)
+
+    def _headers(self, paths: tuple[str, ...]) -> pa.RecordBatch:
+        rows = []
+        for path in paths:
+            try:
+                d = read_directory(path)
+                if self.skip:
+                    checked(d)
+                rows.append((d.slide_id, d.path, d.width, d.height, d.tile_w, d.tile_h, d.compression, d.jpegtables, None))
+            except (ValueError, OSError) as e:
+                if not self.skip:
+                    raise
+                rows.append((stem(path), path, None, None, None, None, None, None, str(e).replace(path, stem(path))))
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in SLIDES.split(", ")])
+
+    def _tiles(self, d: Directory, part: Part) -> Iterator[pa.RecordBatch]:
+        run = np.cumsum(d.bytecounts)  # tiles go to the part in which their last byte lies
+        own = np.nonzero(np.maximum(0, run * part.n - 1) // max(1, int(run[-1]) if len(run) else 1) == part.k)[0]
+        if self.skip_empty:
+            own = own[d.bytecounts[own] > 0]
+        f = Files(d.path) if self.mode == "tiles" else None
+        step = 64 if f else 65_536
+        try:
+            for a in range(0, len(own), step):
+                ids = own[a : a + step]
+                same = lambda v, t: pa.array(np.full(len(ids), v), t)  # noqa: B023, E731
+                cols = [pa.array([d.slide_id] * len(ids), pa.string()), pa.array([d.path] * len(ids), pa.string()), *[same(v, pa.int32()) for v in (d.width, d.height, d.tile_w, d.tile_h)], pa.array(ids), pa.array((ids // d.ntx).astype(np.int32)), pa.array((ids % d.ntx).astype(np.int32)), same(d.ntx, pa.int64()), pa.array(d.offsets[ids]), pa.array(d.bytecounts[ids])]
                 names = [c.split()[0] for c in INDEX.split(", ")]
                 if f:
                     cols.append(pa.array([f.read(int(d.offsets[i]), int(d.bytecounts[i])) if d.bytecounts[i] else None for i in ids], pa.binary()))
@@ -192,7 +240,7 @@ class TiffReader(DataSourceReader):
 
 
 class TiledTiff(DataSource):
-    """spark.read.format("tiledtiff").option("mode", "slides" | "index" | "tiles").load(path)"""
+    """spark.read.format("tiledtiff").option("mode", "slides" | "index" | "tiles").load(path); more options: see TiffReader."""
 
     @classmethod
     def name(cls) -> str:

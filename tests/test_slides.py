@@ -38,13 +38,22 @@ def truth(planes_of, patch, white=230, black=25):
     return {(x, y): (int((gray[y : y + patch, x : x + patch] > white).sum()), int((gray[y : y + patch, x : x + patch] < black).sum())) for y in range(0, gray.shape[0] - patch + 1, patch) for x in range(0, gray.shape[1] - patch + 1, patch)}
 
 
+def pixels(tiles, tables=b"", size=None):
+    """The pixels of each tile; None for damaged ones."""
+    out = [None] * len(tiles)
+    for g in jpeg.decode(tiles, tables, size):
+        for j, i in enumerate(g.at):
+            out[i] = None if g.damaged[j] else jpeg.rgb(g.planes)[j]
+    return out
+
+
 def test_decoder_agrees_with_the_jvm(spark, texture):
     stream = fixtures.encode(spark, texture)
     tables, tile = fixtures.parted(stream)
-    got = jpeg.rgb(jpeg.decode([tile, tile], tables).planes)
-    assert (got[0] == got[1]).all() and (jpeg.rgb(jpeg.decode([stream]).planes)[0] == got[0]).all()
+    got = pixels([tile, tile], tables)
+    assert (got[0] == got[1]).all() and (pixels([stream])[0] == got[0]).all()
     jvm = spark.sparkContext._jvm
-    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(jpeg.splice(tables, tile)))
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(tile[:2] + tables[2:-2] + tile[2:]))
     raw = bytes(jvm.java.nio.ByteBuffer.wrap(image.getRaster().getDataBuffer().getData()).array())
     other = np.frombuffer(raw, np.uint8).reshape(512, 512, 3)[:, :, ::-1]
     error = np.abs(got[0].astype(int) - other.astype(int))
@@ -54,8 +63,54 @@ def test_decoder_agrees_with_the_jvm(spark, texture):
 
 def test_damaged_tiles_are_told(spark, texture):
     tables, tile = fixtures.parted(fixtures.encode(spark, texture))
-    got = jpeg.decode([tile, tile[: len(tile) // 2], b"junk"], tables)
-    assert got.damaged.tolist() == [False, True, True]
+    assert [p is None for p in pixels([tile, tile[: len(tile) // 2], b"junk"], tables)] == [False, True, True]
+
+
+def test_a_tile_does_not_depend_on_its_neighbours(spark, texture):
+    """Tiles of another geometry, of tables of their own, and broken ones, in every order and batch."""
+    tables, tile = fixtures.parted(fixtures.encode(spark, texture))
+    coefs = np.zeros((1, 3, 64), np.int64)
+    coefs[0, :, 0] = 40, 3, -2
+    small = fixtures.stream(coefs, 8, 8, (1, 1), [16] * 64)  # other geometry, own tables
+    flat = np.zeros((1024, 6, 64), np.int64)
+    flat[:, 0, 0] = 1
+    own = fixtures.stream(flat, 512, 512, (2, 2), [4] * 64)  # own tables, same geometry
+    alone = {name: pixels([t], tables, (512, 512))[0] for name, t in (("t", tile), ("s", small), ("o", own), ("j", b"junk"))}
+    assert alone["s"] is None and alone["j"] is None and alone["o"] is not None
+    kinds = {"t": tile, "s": small, "o": own, "j": b"junk"}
+    for order in ("sttt", "ttts", "otto", "tojs", "jsot"):
+        got = pixels([kinds[k] for k in order], tables, (512, 512))
+        for k, p in zip(order, got, strict=True):
+            assert (p is None) == (alone[k] is None) and (p is None or (p == alone[k]).all())
+
+
+def test_grey_and_alpha():
+    coefs = np.zeros((1, 1, 64), np.int64)
+    coefs[0, 0, 0] = 50
+    assert (pixels([fixtures.stream(coefs, 8, 8, (1, 1), [8] * 64, n_parts=1)])[0] == 178).all()
+    four = np.zeros((1, 4, 64), np.int64)
+    four[0, :, 0] = 50, 0, 0, 99
+    assert (pixels([fixtures.stream(four, 8, 8, (1, 1), [8] * 64, n_parts=4)])[0] == 178).all()
+
+
+def test_bad_slides_are_set_aside(spark, folder, tmp_path):
+    import shutil
+
+    shutil.copy(folder / "edge.tif", tmp_path)
+    (tmp_path / "lzw.tif").write_bytes(fixtures.tiff_bytes(512, 512, 512, [b"x"], compression=5))
+    (tmp_path / "cut.tif").write_bytes((folder / "edge.tif").read_bytes()[:1000])
+    (tmp_path / "no.tif").write_bytes(b"GIF89a..")
+    assert {r.slide_id for r in slides.bad_slides(spark, str(tmp_path)).collect()} == {"lzw", "cut", "no"}
+    assert {r.slide_id for r in slides.tissue(spark, str(tmp_path)).collect()} == {"edge"}
+    with pytest.raises(Exception, match="compression 5"):
+        slides.tissue(spark, str(tmp_path / "lzw.tif"), 512, 512).collect()
+
+
+def test_a_slide_is_spread_over_tasks(spark, folder):
+    register = tiff.TiffReader({"path": str(folder / "mixed.tif"), "mode": "index", "partitionbytes": "100000"})
+    parts = register.partitions()
+    ids = [i for p in parts for b in register.read(p) for i in b.column(6).to_pylist()]
+    assert len(parts) > 3 and sorted(ids) == list(range(24))
 
 
 def test_bad_files(spark, tmp_path):
