@@ -38,9 +38,12 @@ class SlideDataset:
         # Counts are a few numbers per candidate; they are kept, so decisions, length and retrieval do not decode again.
         self.counts = patch_counts(spark, path, patch_size, stride, white_pixel_threshold, black_pixel_threshold, precision).persist()
         good = ~F.col("damaged") & F.col("status").startswith("selected")
-        self.coordinates: DataFrame = kept_index(self.decisions().where(good).select("slide_id", "path", "x", "y"))
-        w = Window.orderBy("slide_id", "idx")
-        self.coordinates = self.coordinates.withColumn("row", (F.row_number().over(w) - 1).cast("long")).persist()
+        self.coordinates: DataFrame = kept_index(self.decisions().where(good).select("slide_id", "path", "x", "y"), "path")
+        # Numbers run through the slides: a row per slide goes through the global window, patches never do.
+        per = self.coordinates.groupBy("slide_id", "path").agg(F.count(F.lit(1)).alias("__n"))
+        earlier = Window.orderBy("slide_id", "path").rowsBetween(Window.unboundedPreceding, -1)
+        per = per.select(F.col("path").alias("__path"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__first"))
+        self.coordinates = self.coordinates.join(per, F.col("path") == F.col("__path")).withColumn("row", (F.col("__first") + F.col("idx")).cast("long")).drop("__path", "__first").persist()
         self._n = self.coordinates.count()
         if not self._n:
             raise ValueError("no patch holds tissue; other thresholds may keep some")

@@ -32,9 +32,13 @@ def is_black(gray: Column, threshold: int = BLACK) -> Column:
     return gray < F.lit(threshold)
 
 
-def keeps(white: Column, black: Column, total: Column, reject: float = REJECT) -> Column:
-    """Neither share reaches reject. Shares are doubles that are divided first, then compared; no pixels: not kept."""
+def keeps(white: Column, black: Column, total: Column, reject: float = REJECT, early_exit: bool = False) -> Column:
+    """Neither share reaches reject. Shares are doubles that are divided first, then compared; no pixels: not kept.
+
+    early_exit: black is not looked at where white rejects; the answer is the same."""
     n = F.nullif(total.cast("double"), F.lit(0.0))
+    if early_exit:
+        return F.coalesce(F.when(white / n >= F.lit(reject), F.lit(False)).otherwise(black / n < F.lit(reject)), F.lit(False))
     return F.coalesce((white / n < F.lit(reject)) & (black / n < F.lit(reject)), F.lit(False))
 
 

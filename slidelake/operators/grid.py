@@ -63,17 +63,50 @@ def kept_index(kept: DataFrame, slide: str = "slide_id") -> DataFrame:
     return kept.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
 
 
-def batch_slots(df: DataFrame, by: list[str], order: list[str], batch: int, slots: int) -> DataFrame:
+#: Quantiles of the order that bound the buckets of a prefix sum; rows that a bucket is meant to hold.
+QUANTILES, PER_BUCKET = 1000, 500_000
+
+
+def prefix_sums(df: DataFrame, order: str, by: list[str] | None = None, value: Column | None = None, then: list[str] | None = None, name: str = "before", per_bucket: int = PER_BUCKET) -> DataFrame:
+    """df with name: the sum of value (default: the number of rows) over the rows that stand before, in their group of by.
+
+    order is a numeric column, then breaks its ties. Rows are cut into buckets at quantiles of order, so that no task holds
+    a hot group or the whole table: buckets are summed, their sums are offsets (at most QUANTILES rows a group), and rows are
+    summed inside their bucket. A bucket depends on the row alone. Null orders come first.
+    """
+    by, value = by or [], F.lit(1) if value is None else value
+    at = [float(k) / QUANTILES for k in range(1, QUANTILES)]
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col(order).cast("double"), at, 10_000).alias("q")).first()
+    want = min(QUANTILES, -(-got.n // per_bucket)) if got.n else 1
+    bounds = sorted({got.q[k * QUANTILES // want - 1] for k in range(1, want)}) if got.q else []
+    bucket = F.size(F.filter(F.array(*[F.lit(q) for q in bounds]), lambda q: q < F.col(order).cast("double"))) if bounds else F.lit(0)
+    df = df.withColumn("__bucket", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(bucket)).withColumn("__value", value)
+    sums = df.groupBy(*by, "__bucket").agg(F.sum("__value").alias("__sum"))
+    earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__bucket").alias("__b"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("__bucket") == F.col("__b")]
+    inside = Window.partitionBy(*by, "__bucket").orderBy(order, *(then or [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.join(sums, on).withColumn(name, (F.col("__offset") + F.sum("__value").over(inside) - F.col("__value")).cast("long"))
+    return out.drop("__bucket", "__value", "__b", "__offset", *[f"__{c}" for c in by])
+
+
+def batch_slots(df: DataFrame, by: list[str], order: str, batch: int, slots: int) -> DataFrame:
     """Number of the batch a row falls into, in order within its group, and the slot that the batch takes in turn."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    chunk = F.floor((F.row_number().over(w) - 1) / batch).cast("long")
-    return df.withColumn("chunk", chunk).withColumn("slot", (F.col("chunk") % slots).cast("long"))
+    out = prefix_sums(df, order, by, name="chunk").withColumn("chunk", F.floor(F.col("chunk") / batch).cast("long"))
+    return out.withColumn("slot", (F.col("chunk") % slots).cast("long"))
+
+
+def first_batches(df: DataFrame, order: list[str], batch: int, n: int = 5) -> DataFrame:
+    """The rows of the first n batches in order, but always fewer than all batches; a top-k, without a full sort."""
+    batches = -(-df.count() // batch)
+    return df.orderBy(*order).limit(batch * max(0, min(n, batches - 1)))
 
 
 def first_seen(df: DataFrame, key: str, order: Column) -> DataFrame:
-    """(key, compact): distinct keys numbered from 0 by their first position."""
+    """(key, compact): distinct keys numbered from 0 by their first position, which must be numeric; equal positions share a number."""
     firsts = df.groupBy(key).agg(F.min(order).alias("first_at"))
-    return firsts.withColumn("compact", (F.dense_rank().over(Window.orderBy("first_at")) - 1).cast("long")).drop("first_at")
+    places = prefix_sums(firsts.select("first_at").distinct(), "first_at", name="compact").select(F.col("first_at").alias("__at"), "compact")
+    return firsts.join(places, F.col("first_at").eqNullSafe(F.col("__at"))).select(key, "compact")
 
 
 def sampling_grid(slides: DataFrame, patch: int, n: int, w: str = "w", h: str = "h") -> DataFrame:

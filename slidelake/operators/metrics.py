@@ -15,6 +15,24 @@ def summary(times: DataFrame, by: list[str], value: str) -> DataFrame:
     return times.groupBy(*by).agg(F.min(v).alias("min_t"), F.avg(v).alias("mean_t"), F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias("std_t"), F.max(v).alias("max_t"), F.count(v).alias("n"))
 
 
+def best(times: DataFrame, by: list[str], value: str, name: str = "min_t") -> DataFrame:
+    """The least positive time of each group and the number of times; null where there is none."""
+    v = F.col(value)
+    return times.groupBy(*by).agg(F.min(F.when(v > 0, v)).alias(name), F.count(v).alias("n"))
+
+
+def running_peak(samples: DataFrame, by: list[str], order: str, attributes: list[str]) -> DataFrame:
+    """samples, reduced to one row per group and order, with the largest attribute so far. order is a short axis (days, steps)."""
+    top = F.greatest(*[F.max(a) for a in attributes]) if len(attributes) > 1 else F.max(attributes[0])
+    so_far = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return samples.groupBy(*by, order).agg(top.alias("peak")).withColumn("running_peak", F.max("peak").over(so_far))
+
+
+def stage_sums(times: DataFrame, by: list[str], stage: Column, value: str, stages: list[str]) -> DataFrame:
+    """Seconds by stage of each group, one column per stage; a stage that never ran has 0."""
+    return times.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(stage == s, F.col(value))), F.lit(0.0)).alias(s) for s in stages])
+
+
 def throughput(n_candidates: Column, best: Column) -> Column:
     return F.coalesce(n_candidates / F.nullif(best, F.lit(0.0)), F.lit(0.0))
 

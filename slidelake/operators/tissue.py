@@ -45,3 +45,35 @@ def decisions(sums: DataFrame, reject: float = REJECT) -> DataFrame:
 def tile_patches(cover: DataFrame, tile: list[str], patch: list[str]) -> DataFrame:
     """The inverted bridge: for each tile the patches that use it. A tile lies in as many patches as overlap it."""
     return cover.groupBy(*tile).agg(F.sort_array(F.collect_set(F.struct(*patch))).alias("patches"))
+
+
+def tile_use(cover: DataFrame, tile: list[str], y: str = "y", x: str = "x") -> DataFrame:
+    """For each tile how many patches use it and where the first begins; sums of partial counts, no list of patches."""
+    return cover.groupBy(*tile).agg(F.count(F.lit(1)).alias("n_patches"), F.min(y).alias("first_y"), F.min(x).alias("first_x"))
+
+
+def routed_counts(pixels: DataFrame, group: str, keys: list[str], least: int, gray: str = "gray", white: int = WHITE, black: int = BLACK) -> DataFrame:
+    """(group, keys, white, black, n, route): tile counts by one of two ways with one answer.
+
+    Groups of at least least tiles are counted in Arrow batches, the others by the relational aggregate. Both give partial
+    sums before the shuffle, so the route changes where the work is done and nothing else.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = pixels.groupBy(group).agg(F.count_distinct(*keys).alias("__tiles")).select(F.col(group).alias("__group"), F.when(F.col("__tiles") >= least, "batch").otherwise("rows").alias("route"))
+    src = pixels.join(sizes, F.col(group).eqNullSafe(F.col("__group"))).select(group, *keys, F.col(gray).cast("int").alias("__gray"), "route")
+    names = [group, *keys]
+
+    def run(batches):
+        for b in batches:
+            g = b.column(b.schema.get_field_index("__gray"))
+            t = pa.table({**{c: b.column(c) for c in names}, "white": pc.cast(pc.greater(g, white), pa.int64()), "black": pc.cast(pc.less(g, black), pa.int64()), "n": pa.array([1] * b.num_rows, pa.int64())})
+            sums = t.group_by(names).aggregate([("white", "sum"), ("black", "sum"), ("n", "sum")])
+            yield from sums.select([*names, "white_sum", "black_sum", "n_sum"]).rename_columns([*names, "white", "black", "n"]).to_batches()
+
+    schema = ", ".join([f"`{c}` {src.schema[c].dataType.simpleString()}" for c in names] + ["white long", "black long", "n long"])
+    wide = src.where("route = 'batch'").drop("route").mapInArrow(run, schema)
+    wide = wide.groupBy(*names).agg(*[F.sum(c).alias(c) for c in ("white", "black", "n")]).withColumn("route", F.lit("batch"))
+    narrow = tile_counts(src.where("route = 'rows'"), names, "__gray", white, black).withColumn("route", F.lit("rows"))
+    return wide.unionByName(narrow)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .grid import prefix_sums
+
 
 def compare_sets(base: DataFrame, test: DataFrame, key: list[str]) -> DataFrame:
     """One row: n_base, n_test, n_agree, n_missing, n_extra, jaccard, precision, recall, f1, passed. Empty unions agree."""
@@ -33,16 +35,22 @@ def first_differences(base: DataFrame, test: DataFrame, key: list[str], n: int =
     return side(base, test, "missing").unionByName(side(test, base, "extra"))
 
 
-def identical_order(a: DataFrame, b: DataFrame, key: list[str], order_a: list, order_b: list) -> DataFrame:
-    """One row: whether both are the same sequence."""
+def identical_order(a: DataFrame, b: DataFrame, key: list[str], order_a: Column, order_b: Column, then: list[str] | None = None) -> DataFrame:
+    """One row: whether both are the same sequence. Orders are numeric; then breaks their ties."""
 
-    def placed(df: DataFrame, order: list, tag: str) -> DataFrame:
-        return df.select(F.row_number().over(Window.orderBy(*order)).alias(f"p{tag}"), F.struct(*key).alias(f"k{tag}"))
+    def placed(df: DataFrame, order: Column, tag: str) -> DataFrame:
+        return prefix_sums(df.select(*dict.fromkeys([*key, *(then or [])]), order.alias("__order")), "__order", then=then, name=f"p{tag}").select(f"p{tag}", F.struct(*key).alias(f"k{tag}"))
 
     both = placed(a, order_a, "a").join(placed(b, order_b, "b"), F.col("pa") == F.col("pb"), "full_outer")
     return both.agg(F.coalesce(F.bool_and(F.col("ka").eqNullSafe(F.col("kb"))), F.lit(True)).alias("identical_order"))
 
 
+def all_pass(checks: DataFrame, by: list[str], passed: str = "passed") -> DataFrame:
+    """(by, n, n_failed, passed): whether every check of a group passed; a check without an answer has not."""
+    ok = F.coalesce(F.col(passed), F.lit(False))
+    return checks.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(~ok).alias("n_failed"), F.bool_and(ok).alias("passed"))
+
+
 def array_errors(df: DataFrame, a: str, b: str, tolerance: float) -> DataFrame:
     """One row: largest, mean and L2 error of two columns, share within tolerance, whether all are equal."""
     d = F.abs(F.col(a) - F.col(b)).cast("double")

@@ -207,17 +207,6 @@ def tissue_filter(spark, sf_dir):
     return tissue.tissue_patches(dims, counts, 1024, 512, 512, empty_pixels=1, reject=0.5)
 
 
-@query(FLAGSHIP + """SELECT slide_id, x, y, CASE WHEN white / total >= 0.5e0 THEN printf('discarded (reason: white_ratio %.2f >= 0.5)', white / total)
-WHEN black / total >= 0.5e0 THEN printf('discarded (reason: black_ratio %.2f >= 0.5)', black / total)
-ELSE printf('selected (white: %.2f, black: %.2f)', white / total, black / total) END AS status FROM s WHERE (white * 200) % total <> 0 AND (black * 200) % total <> 0""")
-def decision_log(spark, sf_dir):
-    """Shares that are a multiple of half a hundredth, 0 and 1 too, are left out here and in the SQL; decision_log_whole has them all."""
-    dims, counts = flagship_counts(spark, sf_dir)
-    cover = grid.tile_cover(grid.candidates(dims, 1024, 512), 1024, 512, 512, "ntx").select("slide_id", "x", "y", "tile_id")
-    sums = tissue.rollup(cover, counts, ["slide_id", "tile_id"], ["slide_id", "x", "y"], 1)
-    return tissue.decisions(sums.where("(white * 200) % total <> 0 and (black * 200) % total <> 0"), 0.5).select("slide_id", "x", "y", "status")
-
-
 def hundredths_sql(count: str) -> str:
     """The share of total in hundredths, rounded half up by integers: engines print doubles between two hundredths differently."""
     h = f"((200 * {count} + total) // (2 * total))"
@@ -227,8 +216,8 @@ def hundredths_sql(count: str) -> str:
 @query(FLAGSHIP + f"""SELECT slide_id, x, y, CASE WHEN white / total >= 0.5e0 THEN 'discarded (reason: white_ratio ' || {hundredths_sql('white')} || ' >= 0.5)'
 WHEN black / total >= 0.5e0 THEN 'discarded (reason: black_ratio ' || {hundredths_sql('black')} || ' >= 0.5)'
 ELSE 'selected (white: ' || {hundredths_sql('white')} || ', black: ' || {hundredths_sql('black')} || ')' END AS status FROM s""")
-def decision_log_whole(spark, sf_dir):
-    """The decision on every patch; decision_log and its SQL leave out each share that is a multiple of half a hundredth."""
+def decision_log(spark, sf_dir):
+    """The decision on every patch."""
     dims, counts = flagship_counts(spark, sf_dir)
     cover = grid.tile_cover(grid.candidates(dims, 1024, 512), 1024, 512, 512, "ntx").select("slide_id", "x", "y", "tile_id")
     sums = tissue.rollup(cover, counts, ["slide_id", "tile_id"], ["slide_id", "x", "y"], 1)
@@ -239,8 +228,7 @@ def decision_log_whole(spark, sf_dir):
 def tiles_to_patches(spark, sf_dir):
     dims, _ = flagship_counts(spark, sf_dir)
     cover = grid.tile_cover(grid.candidates(dims, 1024, 512), 1024, 512, 512, "ntx")
-    p = tissue.tile_patches(cover, ["slide_id", "tile_id"], ["y", "x"])
-    return p.select("slide_id", "tile_id", F.size("patches").cast("long").alias("n_patches"), F.array_min(F.transform("patches", lambda v: v["y"])).alias("first_y"), F.array_min(F.transform("patches", lambda v: v["x"])).alias("first_x"))
+    return tissue.tile_use(cover, ["slide_id", "tile_id"])
 
 
 # --- validation ---------------------------------------------------------------------------------------------------
@@ -304,7 +292,7 @@ b AS (SELECT tile_id, row_number() OVER (ORDER BY tile_id DESC) AS k FROM (SELEC
 SELECT coalesce(bool_and(a.tile_id IS NOT DISTINCT FROM b.tile_id), true) AS identical_order FROM a FULL JOIN b USING (k)""")
 def identical_order(spark, sf_dir):
     t = line_pixels(spark, sf_dir).select("tile_id").distinct()
-    return validate.identical_order(t, t, ["tile_id"], [F.col("tile_id")], [F.col("tile_id").desc()])
+    return validate.identical_order(t, t, ["tile_id"], F.col("tile_id"), -F.col("tile_id"))
 
 
 # --- windows ------------------------------------------------------------------------------------------------------
@@ -320,7 +308,7 @@ def kept_index(spark, sf_dir):
 @query("""SELECT slot, chunk, o_orderstatus, count(*) AS n FROM (SELECT o_orderstatus, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 2048 AS chunk,
 ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 2048) % 2 AS slot FROM orders) GROUP BY slot, chunk, o_orderstatus""")
 def batch_slots(spark, sf_dir):
-    out = grid.batch_slots(table(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_orderkey"], 2048, 2)
+    out = grid.batch_slots(table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_orderkey", 2048, 2)
     return out.groupBy("slot", "chunk", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -332,9 +320,16 @@ def tile_dedupe_first_seen(spark, sf_dir):
 
 @query("""SELECT doc_id, CAST(sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id) - octet_length(encode(text)) AS BIGINT) AS at FROM documents""")
 def blob_offsets(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    size = F.octet_length("text").cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", (F.sum(size).over(w) - size).alias("at"))
+    """Where each text of a source begins if they lie end to end: prefix sums that no source's size can overload."""
+    return grid.prefix_sums(table(spark, sf_dir, "documents"), "doc_id", ["source"], F.octet_length("text").cast("long"), name="at").select("doc_id", "at")
+
+
+@query("""SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 128 AS BIGINT) AS batch FROM orders
+QUALIFY row_number() OVER (ORDER BY o_orderkey) <= 128 * least(5, (SELECT (count(*) + 127) // 128 - 1 FROM orders))""")
+def first_batches(spark, sf_dir):
+    """The first five batches: a top-k, not a sort of all rows."""
+    out = grid.first_batches(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 128)
+    return grid.prefix_sums(out, "o_orderkey", name="place").select("o_orderkey", F.floor(F.col("place") / 128).cast("long").alias("batch"))
 
 
 @query(f"""SELECT tile_id, l_linenumber, l_partkey, l_extendedprice, CAST(sum(r - 128) OVER (PARTITION BY tile_id ORDER BY l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS BIGINT) AS dc FROM ({PIXELS})""")
@@ -353,31 +348,62 @@ def perf_metrics(spark, sf_dir):
     return metrics.summary(timings(spark, sf_dir), ["version"], "t").select("version", "min_t", F.round("mean_t", 6).alias("mean_t"), F.round("std_t", 6).alias("std_t"), "max_t", "n")
 
 
-@query(f"""WITH b AS (SELECT d, version, round(max(t), 6) AS min_t FROM ({TIMINGS}) GROUP BY d, version)
-SELECT d, version, min_t, round(max(CASE WHEN version = 'click' THEN min_t END) OVER (PARTITION BY d) / nullif(min_t, 0), 6) AS speedup, row_number() OVER (PARTITION BY d ORDER BY min_t, version) AS rank FROM b""")
+BEST = "min(CASE WHEN t > 0 THEN t END)"
+
+
+@query(f"""WITH b AS (SELECT d, version, {BEST} AS min_t FROM ({TIMINGS}) GROUP BY d, version)
+SELECT d, version, min_t, round(max(CASE WHEN version = 'click' THEN min_t END) OVER (PARTITION BY d) / nullif(min_t, 0), 6) AS speedup, row_number() OVER (PARTITION BY d ORDER BY min_t, version) AS rank FROM b WHERE min_t IS NOT NULL""")
 def speedup_vs_baseline(spark, sf_dir):
-    best = timings(spark, sf_dir).groupBy("d", "version").agg(F.round(F.max("t"), 6).alias("min_t"))
+    best = metrics.best(timings(spark, sf_dir), ["d", "version"], "t").where("min_t is not null").drop("n")
     return metrics.speedups(best, "click", within=["d"]).select("d", "version", "min_t", F.round("speedup", 6).alias("speedup"), "rank")
 
 
-@query(f"SELECT version, count(*) AS n, round(coalesce(count(*) / nullif(max(t), 0), 0), 6) AS rate FROM ({TIMINGS}) GROUP BY version")
+@query(f"SELECT version, count(t) AS n, round(coalesce(count(t) / nullif({BEST}, 0), 0), 6) AS rate FROM ({TIMINGS}) GROUP BY version")
 def throughput(spark, sf_dir):
-    out = timings(spark, sf_dir).groupBy("version").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("best"))
-    return out.select("version", "n", F.round(metrics.throughput(F.col("n"), F.col("best")), 6).alias("rate"))
+    """Candidates by the least time; 0 without times."""
+    out = metrics.best(timings(spark, sf_dir), ["version"], "t")
+    return out.select("version", "n", F.round(metrics.throughput(F.col("n"), F.col("min_t")), 6).alias("rate"))
+
+
+#: A stand-in for a kernel's part of a time: a share that differs from event to event.
+KERNEL = "t * (1 + user_id % 7) / 10"
 
 
 @query(f"""SELECT version, total, kernel, round(total - kernel, 6) AS overhead, round(100 * kernel / total, 6) AS kernel_pct
-FROM (SELECT version, round(max(t), 6) AS total, round(avg(t), 6) AS kernel FROM ({TIMINGS}) GROUP BY version)""")
+FROM (SELECT version, {BEST} AS total, round(min(CASE WHEN t > 0 THEN {KERNEL} END), 9) AS kernel FROM (SELECT event_type AS version, value AS t, user_id FROM events) GROUP BY version)""")
 def kernel_share(spark, sf_dir):
-    out = timings(spark, sf_dir).groupBy("version").agg(F.round(F.max("t"), 6).alias("total"), F.round(F.avg("t"), 6).alias("kernel"))
+    """Overhead: the least total less the least kernel time."""
+    times = table(spark, sf_dir, "events").select(F.col("event_type").alias("version"), F.col("value").alias("t"), "user_id").where("t > 0")
+    out = times.groupBy("version").agg(F.min("t").alias("total"), F.round(F.min(F.expr(KERNEL)), 9).alias("kernel"))
     out = metrics.kernel_share(out, "total", "kernel")
     return out.select("version", "total", "kernel", F.round("overhead", 6).alias("overhead"), F.round("kernel_pct", 6).alias("kernel_pct"))
 
 
-@query(f"SELECT version, min_by(d, t * 1000000 + CAST(replace(d, '-', '') AS DOUBLE) / 1e8) AS best_d, max(t) AS worst FROM ({TIMINGS}) GROUP BY version")
+@query("SELECT version, min_t, arg_min(event_id, (t, event_id)) AS best_id FROM (SELECT event_type AS version, value AS t, event_id, min(value) OVER (PARTITION BY event_type) AS min_t FROM events WHERE value > 0) GROUP BY version, min_t")
 def best_of_n(spark, sf_dir):
-    key = F.col("t") * 1000000 + F.replace("d", F.lit("-"), F.lit("")).cast("double") / 1e8
-    return timings(spark, sf_dir).groupBy("version").agg(F.min_by("d", key).alias("best_d"), F.max("t").alias("worst"))
+    """The repetition with the least positive time of each version; of equal ones the first."""
+    rows = table(spark, sf_dir, "events").where("value > 0").groupBy(F.col("event_type").alias("version")).agg(F.min(F.struct("value", "event_id")).alias("best"))
+    return rows.select("version", F.col("best.value").alias("min_t"), F.col("best.event_id").alias("best_id"))
+
+
+@query(f"""WITH b AS (SELECT version, d, greatest(max(t), max(u)) AS peak FROM (SELECT event_type AS version, strftime(ts, '%Y-%m-%d') AS d, value AS t, user_id / 8e0 AS u FROM events) GROUP BY version, d)
+SELECT version, d, peak, max(peak) OVER (PARTITION BY version ORDER BY d) AS running_peak FROM b""")
+def running_peak(spark, sf_dir):
+    """The largest of two sampled attributes so far, day by day."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("version"), F.to_date("ts").cast("string").alias("d"), F.col("value").alias("t"), (F.col("user_id") / F.lit(8.0)).alias("u"))
+    return metrics.running_peak(rows, ["version"], "d", ["t", "u"])
+
+
+STAGES = {"click": "read", "view": "decode", "purchase": "transfer"}
+
+
+@query(f"""SELECT d, {", ".join(f"round(coalesce(sum(CASE WHEN s = '{s}' THEN t END), 0e0), 4) AS {s}" for s in [*STAGES.values(), "compute"])}
+FROM (SELECT d, t, CASE version {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STAGES.items())} ELSE 'compute' END AS s FROM ({TIMINGS})) GROUP BY d""")
+def stage_time_sums(spark, sf_dir):
+    """Seconds by stage and day."""
+    stage = F.coalesce(F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv])[F.col("version")], F.lit("compute"))
+    names = [*STAGES.values(), "compute"]
+    return metrics.stage_sums(timings(spark, sf_dir), ["d"], stage, "t", names).select("d", *[F.round(c, 4).alias(c) for c in names])
 
 
 SECTION_ROWS = [("cpu", 1, "click"), ("cpu", 1, "view"), ("gpu", 2, "purchase"), ("gpu", 2, "signup"), ("decode", 3, "error"), ("decode", 3, "logout"), ("decode", 3, "absent")]
@@ -390,10 +416,10 @@ def section_boundaries(spark, sf_dir):
     return metrics.section_boundaries(timings(spark, sf_dir), spark.createDataFrame(SECTION_ROWS, "section string, ord long, version string"))
 
 
-@query(f"""WITH b AS (SELECT version, max(t) AS v FROM ({TIMINGS}) GROUP BY version)
+@query(f"""WITH b AS (SELECT version, {BEST} AS v FROM ({TIMINGS}) GROUP BY version)
 SELECT version, round(v - first_value(v) OVER (ORDER BY version), 6) AS vs_first, round(v - lag(v) OVER (ORDER BY version), 6) AS vs_previous FROM b""")
 def ablation_steps(spark, sf_dir):
-    out = metrics.adjacent(timings(spark, sf_dir).groupBy("version").agg(F.max("t").alias("v")), "version", "v")
+    out = metrics.adjacent(metrics.best(timings(spark, sf_dir), ["version"], "t", "v"), "version", "v")
     return out.select("version", F.round("vs_first", 6).alias("vs_first"), F.round("vs_previous", 6).alias("vs_previous"))
 
 
@@ -411,10 +437,28 @@ def threads_scale(spark, sf_dir):
     return metrics.threads_scale(rates).select(F.round("single", 6).alias("single"), F.round("best", 6).alias("best"), "scales")
 
 
-@query("""SELECT CASE WHEN n >= 16 THEN 'gpu' ELSE 'cpu' END AS route, count(*) AS groups, CAST(sum(n) AS BIGINT) AS n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) GROUP BY 1""")
+@query(f"""WITH p AS (SELECT o_custkey, tile_id, gray FROM ({PIXELS}) JOIN orders ON tile_id = o_orderkey),
+z AS (SELECT o_custkey, count(DISTINCT tile_id) AS tiles FROM p GROUP BY o_custkey)
+SELECT CASE WHEN tiles >= 16 THEN 'batch' ELSE 'rows' END AS route, count(DISTINCT p.o_custkey) AS groups, count(DISTINCT tile_id) AS tiles, count(*) FILTER (gray > 150) AS white, count(*) FILTER (gray < 100) AS black, count(*) AS n
+FROM p JOIN z ON p.o_custkey = z.o_custkey GROUP BY 1""")
 def hybrid_routing(spark, sf_dir):
-    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("c"))
-    return per.groupBy(F.when(F.col("c") >= 16, "gpu").otherwise("cpu").alias("route")).agg(F.count(F.lit(1)).alias("groups"), F.sum("c").alias("n"))
+    """Groups of 16 tiles or more are counted in Arrow batches, the others by the relational aggregate: one answer, two routes."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rows = line_pixels(spark, sf_dir).select("tile_id", "gray").join(orders, F.col("tile_id") == F.col("o_orderkey"))
+    out = tissue.routed_counts(rows, "o_custkey", ["tile_id"], 16, white=150, black=100)
+    per = out.groupBy("route", "o_custkey").agg(F.count(F.lit(1)).alias("tiles"), *[F.sum(c).alias(c) for c in ("white", "black", "n")])
+    return per.groupBy("route").agg(F.count(F.lit(1)).alias("groups"), *[F.sum(c).alias(c) for c in ("tiles", "white", "black", "n")])
+
+
+@query(f"""WITH a AS (SELECT tile_id, tile_id % 50 AS part FROM ({PIXELS}) GROUP BY tile_id HAVING count(*) FILTER (gray > 150) / count(*) < 0.5e0 AND count(*) FILTER (gray < 100) / count(*) < 0.5e0),
+b AS (SELECT tile_id FROM ({PIXELS}) GROUP BY tile_id HAVING count(*) FILTER (gray > 145) / count(*) < 0.5e0 AND count(*) FILTER (gray < 100) / count(*) < 0.5e0)
+SELECT part, count(*) AS n, count(*) FILTER (b.tile_id IS NULL) AS n_failed, bool_and(b.tile_id IS NOT NULL) AS passed FROM a LEFT JOIN b ON a.tile_id = b.tile_id GROUP BY part""")
+def all_pass(spark, sf_dir):
+    """Whether every kept tile of a part is kept under another threshold too."""
+    a, b = two_kept(spark, sf_dir, 150, 145)
+    b = b.select(F.col("tile_id").alias("other"))
+    checks = a.join(b, F.col("tile_id") == F.col("other"), "left").select((F.col("tile_id") % 50).alias("part"), F.col("other").isNotNull().alias("passed"))
+    return validate.all_pass(checks, ["part"])
 
 
 def _plane(spark, sf_dir) -> tuple[DataFrame, Column]:
@@ -442,19 +486,26 @@ def fp16_luma_flip(spark, sf_dir):
     return p.agg(F.max(F.abs(F.col("h.half") - F.col("gray"))).alias("max_error"), F.count_if((F.col("h.half") > 230) != (F.col("gray") > 230)).alias("white_flips"), F.count_if((F.col("h.half") < 25) != (F.col("gray") < 25)).alias("black_flips"), F.count_if(F.col("h.rounded") != F.col("gray")).alias("rounded_differs"))
 
 
-@query(f"SELECT version, concat_ws(' | ', version, printf('%.3f', max(t) + 0e0), printf('%.3f', round(avg(t), 1)), CASE WHEN version = 'click' THEN '1.00x' ELSE '-' END) AS line FROM ({TIMINGS}) GROUP BY version")
+@query(f"""WITH b AS (SELECT version, {BEST} AS m, avg(t) AS a FROM ({TIMINGS}) GROUP BY version),
+r AS (SELECT version, CAST(round(m * 1000) AS BIGINT) AS mi, CAST(round(a * 1000) AS BIGINT) AS ai, CAST(round(max(CASE WHEN version = 'click' THEN m END) OVER () / m * 100) AS BIGINT) AS si FROM b)
+SELECT version, concat_ws(' | ', version, printf('%d.%03d', mi // 1000, mi % 1000), printf('%d.%03d', ai // 1000, ai % 1000), coalesce(printf('%d.%02dx', si // 100, si % 100), '-')) AS line FROM r""")
 def markdown_report(spark, sf_dir):
-    best = timings(spark, sf_dir).groupBy("version").agg(F.max("t").alias("min_t"), F.round(F.avg("t"), 1).alias("mean_t"))
-    best = best.withColumn("speedup", F.when(F.col("version") == "click", 1.0))
-    return metrics.markdown_rows(best)
+    """A line per version: least and mean time, speedup over the base version; rounded to what is printed first."""
+    t = timings(spark, sf_dir)
+    out = metrics.best(t, ["version"], "t").drop("n").join(t.groupBy(F.col("version").alias("m_version")).agg(F.avg("t").alias("mean_t")), F.col("version") == F.col("m_version"))
+    out = metrics.speedups(out, "click")
+    return metrics.markdown_rows(out.select("version", F.round("min_t", 3).alias("min_t"), F.round("mean_t", 3).alias("mean_t"), F.round("speedup", 2).alias("speedup")))
 
 
-@query(f"""SELECT version, count(*) AS n_times, round(max(t), 6) AS longest FROM ({TIMINGS}) GROUP BY version""")
+@query(f"""SELECT d, version, count(t) AS n_times, round(min(t), 6) AS least, round(max(t), 6) AS longest, round(avg(t), 4) AS mean, count(t) AS n_candidates, max(t) AS peak FROM ({TIMINGS}) GROUP BY d, version""")
 def benchmark_json_roundtrip(spark, sf_dir):
-    """The timings as one document of results by version, as JSON text, read back and exploded."""
-    doc = "struct<meta: struct<script: string, iterations: bigint>, results: map<string, struct<times: array<double>>>>"
-    per = timings(spark, sf_dir).groupBy("version").agg(F.sort_array(F.collect_list("t")).alias("times"))
-    whole = per.agg(F.map_from_entries(F.collect_list(F.struct("version", F.struct("times")))).alias("results"))
-    text = whole.select(F.to_json(F.struct(F.struct(F.lit("bench").alias("script"), F.lit(1).cast("long").alias("iterations")).alias("meta"), "results")).alias("json"))
-    rows = text.select(F.explode(F.from_json("json", doc)["results"]).alias("version", "r"))
-    return rows.select("version", F.size("r.times").cast("long").alias("n_times"), F.round(F.array_max("r.times"), 6).alias("longest"))
+    """A benchmark document per day (meta, results by version) written as JSON text, read back and exploded.
+
+    A document holds the times of one run, so no row grows with the table."""
+    per = timings(spark, sf_dir).groupBy("d", "version").agg(F.sort_array(F.collect_list("t")).alias("times"), F.count("t").alias("n"))
+    stats = F.struct(F.array_min("times").alias("min"), (F.aggregate("times", F.lit(0.0), lambda a, x: a + x) / F.size("times")).alias("mean"), F.array_max("times").alias("max"), "times", F.transform("times", lambda x: x / 2).alias("kernel_times"), F.col("n").cast("int").alias("n_candidates"), F.array_max("times").alias("peak"))
+    whole = per.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("version", stats))).alias("results"))
+    text = whole.select("d", F.to_json(F.struct(F.struct(F.lit("bench").alias("script"), F.col("d").alias("timestamp")).alias("meta"), "results")).alias("json"))
+    doc = "meta struct<script: string, timestamp: string>, results map<string, struct<min: double, mean: double, max: double, times: array<double>, kernel_times: array<double>, n_candidates: int, peak: double>>"
+    read = text.select(F.from_json("json", doc).alias("j")).select(F.col("j.meta.timestamp").alias("d"), F.explode("j.results").alias("version", "r"))
+    return read.select("d", "version", F.size("r.times").cast("long").alias("n_times"), F.round("r.min", 6).alias("least"), F.round("r.max", 6).alias("longest"), F.round("r.mean", 4).alias("mean"), F.col("r.n_candidates").cast("long").alias("n_candidates"), F.col("r.peak").alias("peak"))

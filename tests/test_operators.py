@@ -46,7 +46,7 @@ def test_known_comparison(spark):
     assert r.n_missing == 1 and r.n_extra == 0 and r.jaccard == pytest.approx(2 / 3) and r.f1 == pytest.approx(0.8)
     d = validate.first_differences(base, base.where("x = 0"), ["x", "y"]).collect()
     assert [(x.side, x.x, x.y) for x in d] == [("missing", 1024, 0)]
-    assert validate.identical_order(base, base, ["x", "y"], [F.col("x"), F.col("y")], [F.col("y"), F.col("x")]).first().identical_order is False
+    assert validate.identical_order(base, base, ["x", "y"], F.col("x"), F.col("y"), ["x", "y"]).first().identical_order is False
 
 
 def test_array_errors(spark):
