@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from slidelake import fixtures
 from slidelake.operators import grid, metrics
-from slidelake.plans import harness
+from slidelake.__main__ import chosen, main
+from slidelake.dataset import SlideDataset
+from slidelake.plans import harness, slides
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +46,9 @@ def test_failures_are_told(spark, tmp_path):
 
 def test_registry_and_probe(spark, folder):
     assert {r.version for r in harness.registry(spark, "precision").collect()} == {"half", "luma_plane"}
+    assert harness.registry(spark).where("version = 'default'").first().options == {"alias_of": "parallel"}
+    assert harness.properties(spark).where("name = 'cores'").first().value == str(spark.sparkContext.defaultParallelism)
+    assert {r.direction for r in harness.transfer_bandwidth(spark, 2).where("rate > 0").collect()} == {"to Python", "there and back"}
     rates = harness.probe(spark, folder)
     assert rates.count() == 5 and metrics.threads_scale(rates.where("stage = 'count'")).first().scales in (True, False)
 
@@ -54,3 +59,34 @@ def test_samples(spark):
     assert [(r.x, r.y) for r in grid.diagonal(s, 1024, 4).orderBy("x").collect()] == [(0, 0), (1024, 1024), (2048, 1024), (3072, 1024)]
     assert grid.sampling_grid(s, 1024, 9).count() == 9
     assert grid.parameter_grid(spark, stride=[1, 2], patch=[3]).count() == 2
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    assert main(["list"]) == 0 and "luma_plane" in capsys.readouterr().out
+    assert chosen(["precision", "default"]) == ["parallel", "half", "luma_plane"] and chosen(["all"]) == list(harness.REGISTRY)
+    with pytest.raises(SystemExit):
+        main(["nothing_like_it", "--slides", folder])
+    how = ["--slides", folder, "--patch", "512", "--stride", "256", "--iterations", "1", "--no-warm-up"]
+    assert main(["base", *how, "--json", str(tmp_path / "b.json"), "--report", "kernel"], spark) == 0
+    assert capsys.readouterr().out.startswith("base")
+    back = harness.read_documents(spark, str(tmp_path / "b.json")).first()
+    assert back.version == "base" and back.peak_gpu_bytes > 0 and len(back.kernel_times) == 1
+    rows = harness.read_documents(spark, str(tmp_path / "b.json"))
+    assert harness.summary_report(rows).first().line.startswith("base: ") and harness.section_report(rows).count() == 2
+
+
+def test_training_split(spark, folder):
+    d = SlideDataset(spark, folder, 512, 256)
+    seen = []
+    got = harness.training_split(d.batches(1), lambda items, at: seen.append(at), 1)
+    assert got["batches"] == 1 == len(seen) and 0 < got["load_fraction"] <= 1
+
+
+def test_jvm_decoder(spark, folder):
+    ours = {r.tile_id: r for r in slides.decode_tiles(slides.index_of(spark, folder)).collect()}
+    theirs = harness.decode_with_jvm(spark, folder).collect()
+    assert {r.tile_id for r in theirs} == set(ours)
+    for r in theirs:
+        a = np.frombuffer(bytes(ours[r.tile_id].rgb), np.uint8).reshape(-1, 3).astype(int)
+        b = np.frombuffer(bytes(r.bgr), np.uint8).reshape(-1, 3)[:, ::-1].astype(int)
+        assert np.abs(a - b).mean() < 12
