@@ -13,10 +13,11 @@ from pyspark.sql.types import StructType
 
 from ..functions.pixels import BLACK, REJECT, WHITE, keeps
 from ..sources import jpeg
-from ..sources.tiff import Files, checked, directory, one_file, register
+from ..sources.tiff import Files, checked, directory, listed, one_file, register
 
-#: Tiles that are read and decoded together; a 512 x 512 tile takes about 2 MB meanwhile.
-LOCK_STEP = 192
+#: Tiles that are read together; their compressed bytes are in memory meanwhile.
+LOCK_STEP = 512
+LEAST_PART, MOST_PART = 1 << 20, 8 << 20
 GEOMETRY = ("slide_id", "path", "width", "height", "tile_w", "tile_h", "tile_id", "tile_row", "tile_col", "offset", "bytecount")
 
 
@@ -26,8 +27,12 @@ def _read(spark: SparkSession, path: str, mode: str, **options) -> DataFrame:
 
 
 def index_of(spark: SparkSession, path: str) -> DataFrame:
-    """A row per tile of every slide that can be decoded, without its bytes; neighbouring tiles lie in one partition."""
-    return _read(spark, path, "index")
+    """A row per tile of every slide that can be decoded, without its bytes; neighbouring tiles lie in one partition.
+
+    A partition stands for MOST_PART bytes of a slide, or for fewer where that would leave cores idle.
+    """
+    total = sum(size for _, size in listed(path))
+    return _read(spark, path, "index", partitionbytes=max(LEAST_PART, min(MOST_PART, total // (3 * spark.sparkContext.defaultParallelism))))
 
 
 def slides_of(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Baseline JPEG decoding after ITU-T T.81, vectorised across tiles.
 
 Tiles that share tables and geometry are decoded in lock step: in each step every tile that is not done looks up one Huffman
-symbol by its next 16 bits and moves on. A step only records where it stood and what it found; the values behind the symbols
-are taken from the record in bulk, so a step is a dozen operations on one element per tile. Everything after that is matrix
+symbol, or two if they fit, by its next 16 bits and moves on. A step only records where it stood and what it found; the values
+behind the symbols are taken from the record in bulk, so a step is a dozen operations on one element per tile. Everything after that is matrix
 work on all blocks at once, and blocks without AC coefficients skip it.
 
 Supported: 8-bit baseline, no restart intervals, one component (grey), three, or four (the fourth, alpha, is dropped), any
@@ -38,7 +38,9 @@ class JpegError(ValueError):
 
 
 #: Steps between two looks at which tiles are done, and the most compressed bytes that are decoded together.
-STEPS, MOST_BYTES = 512, 16 << 20
+STEPS, MOST_BYTES = 512, 12 << 20
+#: Tiles that go in lock step, at most.
+MOST_TILES = 256
 #: Tiles whose blocks are transformed together.
 PLANE_STEP = 4
 
@@ -60,12 +62,15 @@ class Header:
         return (self.width, self.height, self.parts, tuple((self.quant[p[3]], self.huffman[0, self.coding[p[0]][0]], self.huffman[1, self.coding[p[0]][1]]) for p in self.parts))
 
 
+# What the next 16 bits say, packed into 64: bits to move on (6), 63 if the block ends (6), size of the last value (4), size of
+# the first value of two (4), bits of the first symbol of two (5), its run of zeros (4), and from bit 32 on the coefficients
+# before the last one.
+ENDS, LAST, FIRST, FIRST_BITS, FIRST_RUN, RUN = 6, 12, 16, 20, 25, 32
+
+
 @lru_cache(maxsize=64)
 def lookup(lengths: bytes, symbols: bytes, ac: bool) -> np.ndarray:
-    """What the next 16 bits say, packed: bits to move on (6), 63 if the block ends (6), bits of the value (4), run of zeros.
-
-    No code or an impossible symbol moves on by 63 bits, which no valid symbol does.
-    """
+    """One symbol by the next 16 bits. No code or an impossible symbol moves on by 63 bits, which no valid symbol does."""
     out = np.full(1 << 16, 63, np.int64)
     at = k = 0
     for n, how_many in enumerate(lengths, start=1):
@@ -75,14 +80,29 @@ def lookup(lengths: bytes, symbols: bytes, ac: bool) -> np.ndarray:
                 raise JpegError("Huffman table is not a prefix code")
             run, size = (symbols[k] >> 4, symbols[k] & 15) if ac else (0, symbols[k])
             if ac and not size and run != 15:
-                out[at : at + span] = n | 63 << 6
+                out[at : at + span] = n | 63 << ENDS
             elif size < 16:
-                out[at : at + span] = n + size | size << 12 | run << 16
+                out[at : at + span] = n + size | size << LAST | run << RUN
             at += span
             k += 1
     return out
 
 
+@lru_cache(maxsize=64)
+def lookup_two(lengths: bytes, symbols: bytes) -> np.ndarray:
+    """As lookup for AC codes, but two symbols at once where the code of the second lies within the 16 bits too.
+
+    Only for coefficients so early in a block that the first of two cannot end it.
+    """
+    one = lookup(lengths, symbols, True)
+    bits, size, run = one & 63, (one >> LAST) & 15, one >> RUN
+    then = one[(np.arange(1 << 16) << np.minimum(bits, 16)) & 0xFFFF]
+    code = (then & 63) - ((then >> LAST) & 15)
+    fits = (bits < 16) & ((one >> ENDS) & 63 == 0) & ((then & 63) != 63) & (code <= 16 - bits)
+    two = then + bits + (size << FIRST) + (bits << FIRST_BITS) + (run << FIRST_RUN) + (run + 1 << RUN)
+    return np.where(fits, two, one)
+
+
 def read_segments(data: bytes, into: Header) -> Header:
     """Walk the marker segments of a stream up to its scan or end."""
     if data[:2] != b"\xff\xd8":
@@ -171,13 +191,13 @@ def grouped(tiles: list[bytes], tables: bytes, size: tuple[int, int] | None) ->
     for i, h in enumerate(heads):
         groups.setdefault(None if h is None or size not in (None, (h.width, h.height)) else h.key() + (h.scan,), []).append(i)
     for key, at in groups.items():
-        held, first = 0, 0
-        for k, i in enumerate(at):  # runs of bounded bytes
-            if held > MOST_BYTES:
-                yield (None if key is None else heads[at[0]]), at[first:k]
-                held, first = 0, k
-            held += len(tiles[i])
-        yield (None if key is None else heads[at[0]]), at[first:]
+        head = None if key is None else heads[at[0]]
+        at.sort(key=lambda i: len(tiles[i]))  # tiles of like length are done at about the same step
+        runs = max(1, -(-len(at) // MOST_TILES), -(-sum(len(tiles[i]) for i in at) // MOST_BYTES))
+        for k in range(runs):
+            part = at[k * len(at) // runs : (k + 1) * len(at) // runs]
+            if part:
+                yield head, part
 
 
 def decode(tiles: list[bytes], tables: bytes = b"", size: tuple[int, int] | None = None) -> Iterator[Group]:
@@ -209,10 +229,11 @@ def coefficients(tiles: list[bytes], h: Header) -> tuple[np.ndarray, np.ndarray]
     State per tile: the next bit, and q, the next coefficient counted through all blocks of the tile.
     """
     across, down, pattern = shape_of(h)
-    names = [(*h.huffman[kind, h.coding[p[0]][kind]], bool(kind)) for p in h.parts for kind in (0, 1)]
-    kinds = sorted(set(names))
-    lut = np.concatenate([lookup(*k) for k in kinds])
-    of_mcu = np.array([kinds.index(names[2 * c + (k > 0)]) << 16 for c in pattern for k in range(64)], np.int64)
+    names = [[(*h.huffman[kind, h.coding[p[0]][kind]], how) for kind, how in ((0, 0), (1, 1), (1, 2))] for p in h.parts]
+    kinds = sorted({n for x in names for n in x})
+    lut = np.concatenate([lookup_two(*k[:2]) if k[2] == 2 else lookup(*k[:2], k[2] == 1) for k in kinds])
+    how = [0 if k == 0 else 2 if k <= 47 else 1 for k in range(64)]  # a run of 15 zeros and a value end before 64
+    of_mcu = np.array([kinds.index(names[c][how[k]]) << 16 for c in pattern for k in range(64)], np.int64)
     table_of = np.tile(of_mcu, across * down)
     n, total = len(tiles), len(table_of)
     scans, whole = zip(*(entropy_bytes(t, h.scan) for t in tiles), strict=True)
@@ -235,7 +256,7 @@ def coefficients(tiles: list[bytes], h: Header) -> tuple[np.ndarray, np.ndarray]
         p_at, q_at, e_at = np.empty((STEPS + 1, m), np.int64), np.empty((STEPS + 1, m), np.int64), np.empty((STEPS, m), np.int64)
         p_at[0], q_at[0] = pos, q
         bits, a, b = np.empty(m, np.uint16), np.empty(m, np.int64), np.empty(m, np.int64)
-        one, six, ten_six, low = (np.full(m, c, np.int64) for c in (1, 6, 16, 63))  # numpy is slower with Python's numbers
+        one, ends, runs, low = (np.full(m, c, np.int64) for c in (1, ENDS, RUN, 63))  # numpy is slower with Python's numbers
         for t in range(STEPS):
             p, k, e = p_at[t], q_at[t], e_at[t]
             view.take(p, out=bits, mode="clip")
@@ -244,27 +265,34 @@ def coefficients(tiles: list[bytes], h: Header) -> tuple[np.ndarray, np.ndarray]
             lut.take(a, out=e, mode="clip")
             np.bitwise_and(e, low, out=a)
             np.add(p, a, out=p_at[t + 1])
-            np.right_shift(e, ten_six, out=a)
+            np.right_shift(e, runs, out=a)
             np.add(k, a, out=a)
-            np.right_shift(e, six, out=b)
+            np.right_shift(e, ends, out=b)
             np.bitwise_and(b, low, out=b)
             np.bitwise_or(a, b, out=a)
             np.add(a, one, out=q_at[t + 1])
         e, p, k = e_at.reshape(-1), p_at[:-1].reshape(-1), q_at[:-1].reshape(-1)
-        some = np.flatnonzero(e & (15 << 12))  # symbols with a value
-        e, k = e[some], k[some]
-        size, to = (e >> 12) & 15, k + (e >> 16)
-        lane = np.broadcast_to(np.arange(m), e_at.shape).reshape(-1)[some]
-        value = view[np.minimum(p[some] + (e & 63) - size, len(view) - 1)].astype(np.int64) >> (16 - size)
-        value -= np.where(value >> (size - 1), 0, (1 << size) - 1)
-        own = k < total  # a tile that is done goes on idly to the end of the round
-        bad = np.zeros(m, bool)
-        bad[lane[own & ((to ^ k) > 63)]] = True
+        bad, done = np.zeros(m, bool), (q_at[-1] >= total).any()
+        lanes = np.broadcast_to(np.arange(m), e_at.shape).reshape(-1)
+        found = []
+        for shift in (LAST, FIRST):
+            some = np.flatnonzero(e & (15 << shift))  # symbols with a value
+            own, at = e[some], k[some]
+            size = (own >> shift) & 15
+            to, end = (at + (own >> RUN), own & 63) if shift == LAST else (at + ((own >> FIRST_RUN) & 15), (own >> FIRST_BITS) & 31)
+            lane = lanes[some]
+            value = view[np.minimum(p[some] + end - size, len(view) - 1)].astype(np.int64) >> (16 - size)
+            value -= np.where(value >> (size - 1), 0, (1 << size) - 1)
+            wild = (to ^ at) > 63  # past the block's end
+            if wild.any():
+                bad[lane[wild & (at < total)]] = True
+            found.append((lane, at, to, value))
         for j in np.nonzero((p_at[-1] > stop) | (e_at == 63).any(axis=0))[0]:  # was that before the tile was done?
             there = q_at[:-1, j] < total
             bad[j] |= bool((there & ((e_at[:, j] == 63) | (p_at[1:, j] > stop[j]))).any())
-        put = own & ~bad[lane] if bad.any() or (q_at[-1] >= total).any() else slice(None)
-        flat[live[lane[put]] * total + to[put]] = value[put]
+        for lane, at, to, value in found:
+            put = (at < total) & ~bad[lane] if done or bad.any() else slice(None)  # a tile that is done goes on idly
+            flat[live[lane[put]] * total + to[put]] = value[put]
         broken[live[bad]] = True
         on = ~bad & (q_at[-1] < total)
         live, pos, q, stop = live[on], p_at[-1][on], q_at[-1][on], stop[on]
