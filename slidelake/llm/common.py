@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Separators of words: the six ASCII white-space characters. bytes.split() splits on the same six.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,22 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written under the checkpoint folder that all executors share.
-
-    The folder comes from spark.checkpoint.dir; only a session without one (tests) gets a folder of its own.
-    """
+    """df, computed once and written under the checkpoint folder that all executors share (spark.checkpoint.dir)."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate data that all executors share; see cut."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="slidelake-ckpt-"))
-    return sc.getCheckpointDir()
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table under the shared folder: smaller than a checkpoint for narrow rows, and read by column.
 

@@ -12,6 +12,18 @@ from .common import remainder
 FOLDS = 5
 
 
+def fold_of(labels: DataFrame) -> DataFrame:
+    """The labels that may be learned from. Whatever is fitted starts here, so no figure depends on a held-out label."""
+    return labels.where(remainder(F.col("doc_id"), FOLDS) != 0)
+
+
+def shares_of(labels: DataFrame, label: str) -> dict[int, int]:
+    """How many ids have each label in the learning fold; ids labelled twice count once, by their larger label."""
+    own = fold_of(labels).select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    own = own.groupBy("doc_id").agg(F.max("y").alias("y"))
+    return {r.y: r.c for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("c")).collect()}
+
+
 def sample_of(docs: DataFrame, labels: DataFrame, label: str, most_each: int) -> DataFrame:
     """(doc_id, y, text) of at most most_each documents per label value, of those that may be learned from.
 

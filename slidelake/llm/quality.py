@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remainder, table, text_runs
-from .labelled import FOLDS, logistic, sample_of, sigmoid
+from .labelled import FOLDS, fold_of, logistic, sample_of, shares_of, sigmoid
 
 MOST_EACH, RUN, THRESHOLD = 3000, 2_000_000, 0.3
 
@@ -174,9 +174,12 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_each: int = MOST_EACH) -> QualityModel:
     """The field and the map from mean marginal to probability, fitted to at most most_each documents of each label.
 
-    Only line features come to the driver. The second half of the sample (by hash of the id) fits the map, weighted back
-    to the labels' own shares. Without labels of both kinds every score is the one label's smoothed share.
+    Labels are cut to the learning fold first: nothing here sees a held-out one. Only line features come to the driver. The
+    field is trained on one half of the sample (every other document by id), the other half fits the map, weighted back to
+    the labels' own shares; a half without both labels gives way to the whole. Without labels of both kinds every score is
+    the one label's smoothed share. Ids labelled twice count by their larger label; documents of equal id are all taken.
     """
+    labels = fold_of(labels)
     rows = sample_of(docs, labels, label, most_each).select("doc_id", "y", F.col("text").cast("binary").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,17 +201,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_each: i
     length = np.concatenate([np.frombuffer(r.length, np.float32) for r in got]).astype(np.float64)
     n = np.array([r.n for r in got], np.int64)
     x = with_neighbours(own, n)
-    chain = fit_chain(x, n, y)
+    half = np.zeros(len(y), bool)
+    for v in (0, 1):
+        half[np.nonzero(y == v)[0][::2]] = True
+    if min((half & (y == 0)).sum(), (half & (y == 1)).sum(), (~half & (y == 0)).sum(), (~half & (y == 1)).sum()) < 10:
+        half = np.ones(len(y), bool)
+    line = np.repeat(half, n)
+    chain = fit_chain(x[line], n[half], y[half])
     good, _ = chain.run(x, n)
-    shares = {r.y: r.c for r in labels.select(F.col(label).cast("int").alias("y")).where("y in (0, 1)").groupBy("y").agg(F.count(F.lit(1)).alias("c")).collect()}
+    rest = ~half if not half.all() else half
+    own, y = logit(quality_of(good, length, n))[rest], y[rest]
+    shares = shares_of(labels, label)
     weight = np.where(y == 1, shares.get(1, 1) / (y == 1).sum(), shares.get(0, 1) / (y == 0).sum())
     weight *= len(y) / weight.sum()
-    a, b = logistic(logit(quality_of(good, length, n))[:, None], y, 1.0, weight)
+    a, b = logistic(own[:, None], y, 1.0, weight)
     return QualityModel(chain, float(a), float(b))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score): one row per input row. Null and empty texts are one empty line; ids pass through, null or repeated."""
+    """(doc_id, score): one row per input row.
+
+    Null and empty texts are one empty line; ids pass through, null or repeated; equal texts have equal scores. An empty
+    table gives no rows; other columns are ignored, whatever their names.
+    """
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
