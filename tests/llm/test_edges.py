@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,14 +191,72 @@ def test_toxicity(docs, none, rows, labels):
     assert toxicity.score_toxicity(none, toxicity.fit(none, labels.limit(0))).count() == 0
 
 
+def best_by_enumeration(classes, values):
+    """The best of all runs of the composed grammar over a clause, one by one."""
+    t = toxicity.grammar()
+    owing = lambda s: isinstance(s, tuple) and (s[:1] == ("owes",) or any(owing(x) for x in s))
+    best = [float("-inf")]
+
+    def go(state, at, total):
+        if at == len(classes):
+            if not owing(state):
+                best[0] = max(best[0], total)
+            return
+        for to, _, weight in t.steps(state, classes[at]):
+            go(to, at + 1, total + sum(values[p] for p in weight))
+
+    go(t.start, 0, 0.0)
+    return best[0]
+
+
+def test_best_paths_match_enumeration():
+    rng = random.Random(3)
+    values = np.array([rng.uniform(-2, 2) for _ in toxicity.PARAMS])
+    clauses = [[rng.choice(toxicity.CLASSES) for _ in range(rng.randint(1, 9))] for _ in range(150)]
+    cls = np.array([toxicity.CLASSES.index(c) for x in clauses for c in x])
+    number = np.repeat(np.arange(len(clauses)), [len(x) for x in clauses])
+    got, used = toxicity.best_paths(*toxicity.machine(), cls, number, values)
+    assert got == pytest.approx([best_by_enumeration(x, values) for x in clauses])
+    assert used @ values == pytest.approx(got)
+
+
 def test_grammar():
-    m = toxicity.ToxicityModel(frozenset({"blorg"}), frozenset({"snarf"}), [0.0] * (len(toxicity.EVENTS) + 5))
-    said = lambda text: {e: int(n) for e, n in zip(toxicity.EVENTS, m.events(text), strict=True) if n}
-    assert said("What a Blorg!") == {"I": 1} and said("snarfling here") == {"I": 1}
-    assert said("you are a blorg") == {"Ia": 1} and said("you are not a blorg") == {"Ian": 1}
-    assert said("she said you are a blorg") == {"Iar": 1} and said("he said, you are a blorg") == {"Ia": 1}
-    assert said("not today. a blorg") == {"I": 1} and said("I will kill you") == {"T": 1} and said("you they kill") == {"Ta": 1}
-    assert said(None) == {} and said("") == {} and said("nothing of it") == {}
+    m = toxicity.ToxicityModel(frozenset({"blorg"}), frozenset({"snarf"}))
+    score = lambda *texts: m.scores(pa.array(texts, pa.string())).round(6).tolist()
+    plain, aimed, negated, reported, bare, nothing, none = score("What a Blorg!", "you are a blorg", "you are not a blorg", "she said you are a blorg", "such an idiot", "nothing of it", None)
+    assert aimed > plain > nothing == none and negated < plain and reported < plain and bare < plain
+    assert score("you idiot")[0] > bare  # a seed counts by its aim
+    assert score("he said, you are a blorg")[0] == aimed and score("not today. a blorg")[0] == plain  # a clause ends
+    assert score("blorg you are")[0] == aimed and score("snarfling here")[0] > nothing
+    idle = " ".join(["word"] * 50)
+    assert score(f"you {idle} blorg {idle} not")[0] == plain and score("")[0] == none
+    assert score(*["you are a blorg"] * 3) == [aimed] * 3
+    two = m.scores(pa.array(["you are a blorg"] * 2 + [None, "x" * 3_000_000]))
+    assert two[0] == two[1] and two[2] == two[3]
+
+
+def test_negation_and_reports_turn_the_verdict(spark):
+    """Learned from labels alone: the same word is toxic said, and not when denied or reported."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = [" ".join(word() for _ in range(20)) for _ in range(300)]
+    texts = [f"{t}. you are a blorg {word()}" if i % 3 == 0 else t for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    assert "blorg" in model.lexicon
+    said, denied, reported = model.scores(pa.array([f"{word()}. {t}" for t in ("you are a blorg", "you are not a blorg", "she said you are a blorg")]))
+    assert said >= 0.5 > max(denied, reported)
+
+
+@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
+def test_held_out_labels_change_nothing(spark, docs, labels, module, label):
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    turned = labels.withColumn(label, F.when(held, 1 - F.col(label)).otherwise(F.col(label)))
+    assert labels.where(held & F.col("doc_id").isNotNull()).count() > 3
+    texts = [r.text for r in docs.collect()]
+    a, b = (module.fit(docs, x) for x in (labels, turned))
+    get = lambda m: m.scores(pa.array(texts, pa.string())) if module is toxicity else m.scores([None if t is None else t.encode() for t in texts])
+    assert get(a).tolist() == get(b).tolist()
 
 
 def test_lm(spark, docs, none, rows):
