@@ -282,8 +282,10 @@ def test_lm(spark, docs, none, rows):
 
 
 def test_lm_attention_reads_every_document(spark, monkeypatch):
-    """Each document holds subwords of its own: their values move only if its windows are trained on."""
+    """Each document holds subwords of its own: their values move only if its windows are trained on. Here all windows are
+    taken; in production every document gives one in ONE_IN of its windows."""
     monkeypatch.setattr(lm, "PER_LEARNER", 500)
+    monkeypatch.setattr(lm, "ONE_IN", 1)
     tok = lm.tokenizer_of(lm.read_file(spark, lm.TOKENIZER))
     single = [w for w in (bytes([97 + a, 97 + b, 97 + c]) for a in range(26) for b in range(26) for c in range(26)) if len(tok.ids(w)) == 1][:400]
     filler = " ".join(w.decode() for w in single[:60])
@@ -337,11 +339,12 @@ def test_nearest(spark):
     v = rng.normal(size=(3000, 24)) * rng.uniform(0.5, 2, (3000, 1))
     v[100:130] = v[100]
     rows = [(i, [float(x) for x in r], "c") for i, r in enumerate(v)]
-    odd = [(5001, None, "c"), (5020, [0.0] * 24, "c"), (5040, [float("nan")] + [1.0] * 23, "c"), (5060, [None] + [1.0] * 23, "c"), (5080, [float("inf")] * 24, "c"), (None, [1.0] * 24, "c"), (5100, [1.0] * 3, "c")]
+    odd = [(5001, None, "c"), (5020, [0.0] * 24, "c"), (5040, [float("nan")] + [1.0] * 23, "c"), (5060, [None] + [1.0] * 23, "c"), (5080, [float("inf")] * 24, "c"), (None, [1.0] * 24, "c"), (5100, [1.0] * 3, "c"), (5101, [2.0, 0.0, 1.0], "c")]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, query_id string")
     got = {}
-    for r in ann.nearest(df, share=0.3, least=200, shard=1000, block=64).collect():
+    for r in ann.nearest(df, shard=1000, block=64).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert got.pop(5100) == [(1, 5101, 3.0)]  # another length: an index of its own
     assert set(got) == set(range(0, 3000, 20))
     hit = 0
     for q, found in got.items():
@@ -356,3 +359,18 @@ def test_nearest(spark):
     few = ann.nearest(df.where("vec_id < 5")).collect()
     assert [(r.query_id, r.rank) for r in few] == [(0, k) for k in range(1, 5)]
     assert ann.nearest(df.where("vec_id = 5001")).count() == 0 and ann.nearest(df.limit(0)).count() == 0
+
+
+def test_copies_take_no_other_vector_s_place(spark):
+    """A third of all rows are one vector: the queries elsewhere find what they find without it."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1500, 24))
+    v[500:1000] = v[500]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    assert ann.entries(ann.valid(df, "vec_id", "embedding"), 20).where("size(ids) > 21").count() == 0
+    got = {}
+    for r in ann.nearest(df, shard=400).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    exact = lambda q: [i for i in np.lexsort((np.arange(1500), -(v @ v[q]).round(12))) if i != q][:20]
+    assert got[500] == exact(500) == list(range(501, 521)) and got[520] == [*range(500, 520)]
+    assert sum(len(set(got[q]) & set(exact(q))) for q in got) / (20 * len(got)) >= 0.9
