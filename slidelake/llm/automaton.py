@@ -61,8 +61,8 @@ class SuffixAutomaton:
         for s in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
             self.count[self.link[s]] += self.count[s]
 
-    def repeated(self, words: list, size: int, least: int = 2) -> list[int]:
-        """Starts of the windows of size words of a sequence that occur least times or more in the closed automaton.
+    def matches(self, words: list, size: int) -> list[tuple[int, int]]:
+        """(start, count) of the windows of size words of a sequence that occur in the closed automaton, and how often.
 
         Streams the sequence for its matching statistics: the state of the longest suffix read so far that occurs at all.
         """
@@ -78,6 +78,10 @@ class SuffixAutomaton:
             while length[link[state]] >= size if state else False:
                 state = link[state]
                 held = length[state]
-            if held >= size and count[state] >= least:
-                out.append(i + 1 - size)
+            if held >= size:
+                out.append((i + 1 - size, count[state]))
         return out
+
+    def repeated(self, words: list, size: int, least: int = 2) -> list[int]:
+        """Starts of the windows of size words of a sequence that occur least times or more in the closed automaton."""
+        return [i for i, n in self.matches(words, size) if n >= least]

@@ -2,18 +2,18 @@
 
 A window of SIZE words is known by its anchor: the smallest hash among its runs of GRAM words. Equal windows have equal
 anchors at the same place, so all occurrences of a window fall to the same anchor, and neighbouring windows mostly share
-one: a maximal run of windows with one anchor occurrence is a segment. Reference shards are sets of anchors. Where all
-segments of an anchor are equal, the windows are settled by their number; where they differ, the shard builds the suffix
-automaton of the distinct segments and streams each of them through it for matching statistics.
+one: a maximal run of windows with one anchor occurrence is a segment. Reference shards are sets of anchors, an anchor of
+very many distinct segments being several: each shard's distinct segments are built into a suffix automaton, weighted by how
+often they occur, and segments are streamed through it for matching statistics. A window goes if the automata of its anchor
+hold it twice or more; every window that is removed is found so, word by word.
 
 The automata are co-partitioned with the segments rather than broadcast: broadcasting every shard to every document would
-cost the square of the corpus. What is shuffled are keys of segments, and the words of only those segments that share an
-anchor with a different one.
+cost the square of the corpus. Hashes only prune: an anchor that occurs once has no repeat, and segments that are equal by
+anchor and digest (128 bits together) are streamed once for all of them.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +26,9 @@ from .bloom import bloom_of, sift
 from .common import short_batches, table, text_runs, tidy, written
 
 SIZE, GRAM = 35, 6
-#: Distinct segments of one anchor that one automaton holds; an anchor with more is settled window by window.
-MOST_IN_SHARD = 2_000
+#: Distinct segments that one automaton holds, and segments that are streamed through it in one group: an anchor with more is
+#: dealt to several automata, and what they count is added up.
+MOST_IN_SHARD, MOST_IN_STREAM = 2_000, 20_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _ODD = 0x5851F42D4C957F2D
@@ -116,17 +117,19 @@ def segment_rows(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"row {kind}, at int, n int, anchor long, digest long")
 
 
-def _settle(rows: list[tuple[int, int, bytes]], size: int) -> Iterator[tuple[int, list[int]]]:
-    """(digest, starts of repeated windows) for the distinct segments (digest, weight, words) of one anchor."""
-    shard = SuffixAutomaton()
-    split = [(d, t.split()) for d, _, t in rows]
-    for (_, weight, _), (_, words) in zip(rows, split, strict=True):
-        shard.add(words, weight)
-    shard.close()
-    for d, words in split:
-        found = shard.repeated(words, size)
-        if found:
-            yield d, found
+def runs_of(starts: list[int]) -> list[dict[str, int]]:
+    """Ascending starts as runs of neighbours: first and number."""
+    out: list[dict[str, int]] = []
+    for i in starts:
+        if out and i == out[-1]["at"] + out[-1]["n"]:
+            out[-1]["n"] += 1
+        else:
+            out.append({"at": i, "n": 1})
+    return out
+
+
+#: Roles of a segment in its group: built into the automaton, streamed through it, or both.
+BUILT, STREAMED, BOTH = 0, 1, 2
 
 
 def near(docs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +140,7 @@ def near(docs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFra
     return sift(keyed, "h", bloom).drop("h"), sift(keyed, "h", bloom, inside=False).drop("h")
 
 
-def repeats(docs: DataFrame, size: int = SIZE, most_in_shard: int = MOST_IN_SHARD) -> DataFrame:
+def repeats(docs: DataFrame, size: int = SIZE, most_in_shard: int = MOST_IN_SHARD, most_in_stream: int = MOST_IN_STREAM) -> DataFrame:
     """(row, at, n): runs of windows (first window, number) of (row, text) whose words also start elsewhere."""
     with short_batches(docs.sparkSession):
         occ = written(segment_rows(docs, size))
@@ -147,74 +150,99 @@ def repeats(docs: DataFrame, size: int = SIZE, most_in_shard: int = MOST_IN_SHAR
     kinds = kinds.join(per, F.col("anchor") == F.col("p_anchor")).select(F.col("anchor").alias("k_anchor"), F.col("digest").alias("k_digest"), "times", "n_kinds")
     # Unique on the kinds' side: AQE splits an anchor that very many rows hold.
     met = written(occ.join(kinds, (F.col("anchor") == F.col("k_anchor")) & (F.col("digest") == F.col("k_digest"))).select("row", "at", "n", "anchor", "digest", "times", "n_kinds"))
-    settled = met.where("times > 1").select("row", "at", "n")
-    # Segments that differ from others of their anchor: the words are fetched once per kind, from one text that holds it.
-    open_ = met.where("n_kinds > 1")
-    single = open_.where("times = 1").select("anchor", "digest", "times", "n_kinds", F.struct("row", "at", "n").alias("one"))
-    more = open_.where("times > 1").groupBy("anchor", "digest", "times", "n_kinds").agg(F.min(F.struct("row", "at", "n")).alias("one"))
-    asks = single.unionByName(more).select(F.col("one.row").alias("a_row"), F.struct(F.col("one.at").alias("at"), F.col("one.n").alias("n"), "anchor", "digest", "times", (F.col("n_kinds") > most_in_shard).cast("int").alias("hot")).alias("ask"))
+    # The words are fetched once per kind, from one text that holds it.
+    single = met.where("times = 1").select("anchor", "digest", "times", "n_kinds", F.struct("row", "at", "n").alias("one"))
+    more = met.where("times > 1").groupBy("anchor", "digest", "times", "n_kinds").agg(F.min(F.struct("row", "at", "n")).alias("one"))
+    asks = single.unionByName(more).select(F.col("one.row").alias("a_row"), F.struct(F.col("one.at").alias("at"), F.col("one.n").alias("n"), "anchor", "digest", "times", "n_kinds").alias("ask"))
     asks = written(asks.groupBy("a_row").agg(F.collect_list("ask").alias("asks")))  # at most one ask per segment of a text
     asked = near(docs, asks, "a_row")[0].join(asks, F.col("row") == F.col("a_row")).select("text", "asks")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
             for first, texts in text_runs(b.column(0)):
+                cols: list[list] = [[], [], [], [], []]
                 for text, wants in zip(texts, b.column(1).slice(first, len(texts)).to_pylist(), strict=True):
                     words = (text or b"").split()
                     for a in wants:
-                        for c, v in zip(cols, (a["anchor"], a["digest"], a["times"], a["hot"], b" ".join(words[a["at"] : a["at"] + a["n"] + size - 1])), strict=True):
+                        for c, v in zip(cols, (a["anchor"], a["digest"], a["times"], a["n_kinds"], b" ".join(words[a["at"] : a["at"] + a["n"] + size - 1])), strict=True):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["anchor", "digest", "times", "hot", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["anchor", "digest", "times", "n_kinds", "words"])
 
-    fetched = asked.mapInArrow(fetch, "anchor long, digest long, times long, hot int, words binary")
+    fetched = asked.mapInArrow(fetch, "anchor long, digest long, times long, n_kinds long, words binary")
+    shards, blocks = F.ceil(F.col("n_kinds") / most_in_shard), F.ceil(F.col("n_kinds") / most_in_stream)
     any_hot = bool(met.where(F.col("n_kinds") > most_in_shard).limit(1).count())
-    if any_hot:
+    dealt = lambda df, shard, block, role: df.select("anchor", shard.cast("long").alias("shard"), block.cast("long").alias("block"), F.lit(role).alias("role"), "digest", "times", "words")
+    if any_hot:  # what several groups read is computed once
         fetched = written(fetched)
+    groups = dealt(fetched.where(F.col("n_kinds") <= most_in_shard) if any_hot else fetched, F.lit(0), F.lit(0), BOTH)
+    if any_hot:
+        hot = fetched.where(F.col("n_kinds") > most_in_shard)
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+        built = dealt(hot.withColumn("__block", every(blocks)), F.pmod("digest", shards), F.col("__block"), BUILT)
+        streamed = dealt(hot.withColumn("__shard", every(shards)), F.col("__shard"), F.pmod(F.xxhash64("digest"), blocks), STREAMED)
+        groups = groups.unionByName(built).unionByName(streamed)
+    groups = groups.repartition("anchor", "shard", "block").sortWithinPartitions("anchor", "shard", "block", "role")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(anchor: int, rows: list) -> Iterator[pa.RecordBatch]:
-            found = list(_settle(rows, size))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * len(found), pa.int64()), pa.array([d for d, _ in found], pa.int64()), pa.array([f for _, f in found], pa.list_(pa.int32()))], names=["anchor", "digest", "starts"])
-
-        held, rows = None, []
+        """A group's automaton is built from its first rows; the rows after them are streamed one by one."""
+        out: list[list] = [[], [], [], [], []]
+
+        def add(anchor: int, digest: int, words: bytes, shard: SuffixAutomaton, whole: bool) -> None:
+            found = shard.matches(words.split(), size)
+            if whole:
+                runs, found = runs_of([i for i, n in found if n > 1]), []
+            else:
+                runs = []
+            if runs or found:
+                for c, v in zip(out, (anchor, digest, runs, [i for i, _ in found], [n for _, n in found]), strict=True):
+                    c.append(v)
+
+        def flush() -> pa.RecordBatch:
+            run = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
+            kinds = (pa.int64(), pa.int64(), run, pa.list_(pa.int32()), pa.list_(pa.int64()))
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["anchor", "digest", "runs", "starts", "counts"])
+            for c in out:
+                c.clear()
+            return batch
+
+        held, rows, shard = None, [], SuffixAutomaton()
         for b in batches:
-            for anchor, digest, times, words in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if anchor != held:
+            for anchor, part, block, role, digest, times, words in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                if (anchor, part, block) != held:
                     if rows:
-                        yield from out(held, rows)
-                    held, rows = anchor, []
-                rows.append((digest, times, words))
+                        shard.close()
+                        for d, w in rows:
+                            add(held[0], d, w, shard, True)
+                    held, rows, shard, closed = (anchor, part, block), [], SuffixAutomaton(), False
+                if role != STREAMED:
+                    shard.add(words.split(), times)
+                if role == BOTH:
+                    rows.append((digest, words))
+                if role == STREAMED:
+                    if not closed:
+                        shard.close()
+                        closed = True
+                    add(anchor, digest, words, shard, False)
+            if len(out[0]) > 5_000:
+                yield flush()
         if rows:
-            yield from out(held, rows)
-
-    cool = fetched.where("hot = 0").select("anchor", "digest", "times", "words")
-    cool = cool.repartition(F.col("anchor")).sortWithinPartitions("anchor")
-    starts = cool.mapInArrow(match, "anchor long, digest long, starts array<int>")
+            shard.close()
+            for d, w in rows:
+                add(held[0], d, w, shard, True)
+        yield flush()
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for anchor, digest, times, words in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                w = words.split()
-                for i in range(len(w) - size + 1):
-                    for c, v in zip(cols, (anchor, digest, times, i, hashlib.blake2b(b" ".join(w[i : i + size]), digest_size=16).digest()), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["anchor", "digest", "times", "start", "window"])
-
-    parts = starts
-    # Anchors with more kinds than an automaton may hold: the same answer from counted windows, spread over tasks.
-    hot = fetched.where("hot = 1").select("anchor", "digest", "times", "words").mapInArrow(windows, "anchor long, digest long, times long, start int, window binary")
-    sums = hot.groupBy("anchor", "window").agg(F.sum("times").alias("n")).where("n > 1").select(F.col("anchor").alias("h_anchor"), F.col("window").alias("h_window"))
-    hot = hot.join(sums, (F.col("anchor") == F.col("h_anchor")) & (F.col("window") == F.col("h_window")), "left_semi").groupBy("anchor", "digest").agg(F.collect_list("start").alias("starts"))
+    found = groups.mapInArrow(match, "anchor long, digest long, runs array<struct<at: int, n: int>>, starts array<int>, counts array<long>")
     if any_hot:
-        parts = parts.unionByName(hot)
-    parts = parts.select(F.col("anchor").alias("s_anchor"), F.col("digest").alias("s_digest"), "starts")
-    # A kind that occurs twice is settled above; the others occur once, at the place that was asked for.
-    once = single.join(parts, (F.col("anchor") == F.col("s_anchor")) & (F.col("digest") == F.col("s_digest")))
-    once = once.select(F.col("one.row").alias("row"), F.explode("starts").alias("start"), F.col("one.at").alias("base"))
-    return settled.unionByName(once.select("row", (F.col("base") + F.col("start")).alias("at"), F.lit(1).alias("n")))
+        found = written(found)
+    parts = found.where(F.size("runs") > 0).select(F.col("anchor").alias("s_anchor"), F.col("digest").alias("s_digest"), "runs")
+    if any_hot:  # what the automata of one anchor count is added up
+        windows = found.where(F.size("starts") > 0).select("anchor", "digest", F.explode(F.arrays_zip("starts", "counts")).alias("w"))
+        windows = windows.groupBy("anchor", "digest", F.col("w.starts").alias("at")).agg(F.sum("w.counts").alias("n")).where("n > 1")
+        windows = windows.groupBy(F.col("anchor").alias("s_anchor"), F.col("digest").alias("s_digest")).agg(F.collect_list(F.struct("at", F.lit(1).alias("n"))).alias("runs"))
+        parts = parts.unionByName(windows)
+    marked = met.join(parts, (F.col("anchor") == F.col("s_anchor")) & (F.col("digest") == F.col("s_digest"))).select("row", "at", F.explode("runs").alias("run"))
+    return marked.select("row", (F.col("at") + F.col("run.at")).alias("at"), F.col("run.n").alias("n"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, most_in_shard: int = MOST_IN_SHARD) -> DataFrame:
@@ -236,27 +264,28 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, n_removed, kept = [], [], []
             marked = b.num_columns > 2
             if marked:
                 ends = b.column(2).offsets.to_numpy()
                 at, n = (b.column(2).values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for i, t in ((first + j, t) for first, texts in text_runs(b.column(1)) for j, t in enumerate(texts)):
-                words = (t or b"").split()
-                gone = 0
-                if marked and ends[i + 1] > ends[i]:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    a, k = at[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]
-                    np.add.at(edge, a, 1)
-                    np.add.at(edge, a + k + size - 1, -1)
-                    keep = np.cumsum(edge)[:-1] == 0
-                    gone = len(words) - int(keep.sum())
-                    words = [words[j] for j in np.nonzero(keep)[0]]
-                n_words.append(len(words) + gone)
-                n_removed.append(gone)
-                kept.append(b" ".join(words))
-            text_out = pa.array(kept, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), text_out], names=["doc_id", "n_words", "n_removed", "kept"])
+            for first, texts in text_runs(b.column(1)):  # a run of bounded bytes is a batch of its own
+                n_words, n_removed, kept = [], [], []
+                for i, t in enumerate(texts, start=first):
+                    words = (t or b"").split()
+                    gone = 0
+                    if marked and ends[i + 1] > ends[i]:
+                        edge = np.zeros(len(words) + 1, np.int64)
+                        a, k = at[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]
+                        np.add.at(edge, a, 1)
+                        np.add.at(edge, a + k + size - 1, -1)
+                        keep = np.cumsum(edge)[:-1] == 0
+                        gone = len(words) - int(keep.sum())
+                        words = [words[j] for j in np.nonzero(keep)[0]]
+                    n_words.append(len(words) + gone)
+                    n_removed.append(gone)
+                    kept.append(b" ".join(words))
+                text_out = pa.array(kept, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), text_out], names=["doc_id", "n_words", "n_removed", "kept"])
 
     schema = f"doc_id {kind}, n_words long, n_removed long, kept string"
     return joined.mapInArrow(run, schema).unionByName(whole.select("doc_id", "text").mapInArrow(run, schema))

@@ -67,7 +67,9 @@ def test_fingerprints_of_random_points():
 
 
 @pytest.mark.parametrize("most", [2000, 1])
-def test_substring_dedup(docs, none, rows, most):
+def test_substring_dedup(docs, none, rows, most, monkeypatch):
+    """most = 1: every anchor of several segments is dealt to several automata and several streams."""
+    monkeypatch.setattr(substring_dedup.repeats, "__defaults__", (35, 2000, 2 if most == 1 else 20_000))
     got = substring_dedup.remove_repeats(docs, most_in_shard=most)
     assert some(tuple(r) for r in got.collect()) == some(brute.remove_repeats([(r[0], r[1]) for r in rows]))
     assert substring_dedup.remove_repeats(none).count() == 0
