@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, table
 
 RATIO, LEAST_PAGES = 0.1, 10
-#: Hosts whose lists may be broadcast; with more, the documents are shuffled to their host's list instead.
-MOST_BROADCAST = 20_000
+#: Bytes of hosts and their lists that may be broadcast; beyond, the documents are shuffled to their host's list instead.
+MOST_BROADCAST = 16_000_000
 
 
 def line_key(line):
@@ -34,10 +34,10 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     return found.groupBy("t_host").agg(F.collect_list("key").alias("keys"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """docs with text reduced to the lines that are not their host's boilerplate; adds n_lines and n_dropped.
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with text reduced to the lines that are not their host's boilerplate; adds counts: lines before, lines dropped.
 
-    The other columns pass through as they are. Lines are split at newline characters; empty lines are never
+    The other columns pass through as they are; a count whose name docs has already gets underscores in front. Lines are split at newline characters; empty lines are never
     boilerplate. A null text stays null with no lines, a null host is a host of its own, an empty text is one empty line.
     Repeated rows count as pages of their own. Clashing column names are no matter: the added working columns carry
     reserved names.
@@ -46,7 +46,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     # One row per host with boilerplate. Counted first, so that texts stay where they are unless there are too many hosts;
     # then AQE splits the partitions of a hot host.
     bad = cut(bad)
-    bad = F.broadcast(bad) if small(bad, MOST_BROADCAST) else bad
+    size = bad.agg(F.sum(F.size("__b_keys") * 32 + F.coalesce(F.octet_length(F.col("__b_host").cast("string")), F.lit(0)) + 64).alias("b")).first().b or 0
+    bad = F.broadcast(bad) if size <= MOST_BROADCAST else bad
     out = docs.join(bad, F.col(host).eqNullSafe(F.col("__b_host")), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda x: (x == F.lit("")) | ~F.array_contains(F.col("__b_keys"), line_key(x)))
@@ -54,8 +55,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     out = out.withColumn("__kept", kept)
     n = F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long")
     left = F.coalesce(F.when(F.col(text).isNotNull(), F.size("__kept")), F.lit(0)).cast("long")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*[F.array_join("__kept", "\n").alias(c) if c == text else F.col(c) for c in own], n.alias("n_lines"), (n - left).alias("n_dropped"))
+    names = [next(c for c in ("_" * k + name for k in range(len(docs.columns) + 1)) if c not in docs.columns) for name in counts]
+    return out.select(*[F.array_join("__kept", "\n").alias(c) if c == text else F.col(c) for c in docs.columns], n.alias(names[0]), (n - left).alias(names[1]))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

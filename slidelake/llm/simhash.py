@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, small, table, text_runs
+from .common import cut, table, text_runs
 from .components import components
 
 WIDTH, RADIUS, SEED = 3, 2, 42
 SHARD, PER_SHARD, MOST_SAMPLE, LEAF = 16_384, 64, 1 << 20, 192
-#: Dropped rows whose keys may be broadcast (16 bytes each); more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+#: Bytes of ids of dropped rows that may be broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 16_000_000
 
 #: Bits of each byte value, least significant first.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -245,11 +245,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     Rows are told apart by id and fingerprint. Of rows equal in both one stays. Rows with a null id stay only if their
     group has no id at all, one for each fingerprint.
     """
-    at, kind = docs.columns.index(text), docs.schema
     groups = cut(near_duplicates(docs, doc_id, text, width, radius))
-    fp = F.conv("fingerprint", 16, -10).cast("long")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__g_id"), fp.alias("__g_fp")).distinct()
-    twice = groups.groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if not groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or doc_id is null").limit(1).count():
+        gone = gone.select(F.col("doc_id").alias("__g_id"))
+        size = gone.agg(F.sum(F.octet_length(F.col("__g_id").cast("string")) + 16).alias("b")).first().b or 0
+        return docs.join(F.broadcast(gone) if size <= MOST_BROADCAST else gone, F.col(doc_id) == F.col("__g_id"), "left_anti")
+    # Ids that are null or repeated do not tell rows apart: fingerprints do, which are computed once more.
+    at, kind = docs.columns.index(text), docs.schema
+    gone = gone.select(F.col("doc_id").alias("__g_id"), F.conv("fingerprint", 16, -10).cast("long").alias("__g_fp")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,11 +261,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*b.schema.names, "__fp"])
 
     keyed = docs.mapInArrow(run, StructType(list(kind.fields)).add("__fp", "long"))
-    gone = F.broadcast(gone) if small(gone, MOST_BROADCAST) else gone
     out = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("__g_id")) & (F.col("__fp") == F.col("__g_fp")), "left_anti")
-    if twice:
-        out = out.dropDuplicates([doc_id, "__fp"])
-    return out.select(*docs.columns)
+    return out.dropDuplicates([doc_id, "__fp"]).select(*docs.columns)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

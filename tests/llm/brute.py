@@ -115,3 +115,12 @@ def leaks(docs: list[tuple], items: list[tuple], width: int = 5, share: float =
 
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def similar(texts: list, width: int = 5, least: float = 0.8) -> list[int]:
+    """Least index of each text's group under links of equal or similar shingle sets."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)} or ({b" ".join(w)} if w else set()))
+    return groups(len(sets), lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9)

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from slidelake.llm import ann, decontaminate, license_scan, license_texts, line_dedup, lm, mixing, quality, simhash, substring_dedup, toxicity
+from slidelake.llm import ann, decontaminate, license_scan, license_texts, line_dedup, lm, mixing, quality, similar, simhash, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, source string, row string, words string, n int, `key` string, label int"
 
@@ -53,6 +53,33 @@ def test_simhash(docs, none, rows):
     assert sorted(ids) == sorted({c for _, _, c in got if c is not None})
 
 
+def test_similar(spark, docs, none, rows):
+    """Edited copies at both sides of 0.8, a large family of them, and every odd row."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [[word() for _ in range(120)] for _ in range(12)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for edits in (1, 2, 3, 5, 8):
+            own = list(b)
+            for k in rng.sample(range(120), edits):
+                own[k] = word()
+            texts.append(" ".join(own))
+    texts += [" ".join([*base[0][:100], *[word() for _ in range(6)]]) for _ in range(60)]
+    table = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n int").repartition(3)
+    kept = similar.keep_one_similar(table)
+    roots = brute.similar(texts)
+    assert kept.columns == table.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, r in enumerate(roots) if i == r]
+    odd = similar.keep_one_similar(docs)
+    assert odd.columns == docs.columns and similar.keep_one_similar(none).count() == 0
+    groups: dict = {}
+    for r, root in zip(rows, brute.similar([r[1] for r in rows]), strict=True):
+        groups.setdefault(root, []).append(r[0])
+    want = [min((i for i in ids if i is not None), default=None) for ids in groups.values()]
+    assert some(r.doc_id for r in odd.collect()) == some(want)
+
+
 def test_fingerprints_of_random_points():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
@@ -105,6 +132,8 @@ def test_line_dedup(docs, none, rows):
     assert some((r.n, r.text) for r in got.collect()) == some((r[5], t) for r, t in zip(rows, want, strict=True))
     assert any(a != r[1] for a, r in zip(want, rows, strict=True))
     assert line_dedup.drop_boilerplate(none).count() == 0
+    own = line_dedup.drop_boilerplate(docs.withColumn("n_dropped", F.lit("mine")))
+    assert own.columns == [*docs.columns, "n_dropped", "n_lines", "_n_dropped"] and own.where("n_dropped <> 'mine'").count() == 0
 
 
 def test_decontaminate(spark, docs, none, rows):
