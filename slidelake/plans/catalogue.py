@@ -497,7 +497,7 @@ def markdown_report(spark, sf_dir):
     return metrics.markdown_rows(out.select("version", F.round("min_t", 3).alias("min_t"), F.round("mean_t", 3).alias("mean_t"), F.round("speedup", 2).alias("speedup")))
 
 
-@query(f"""SELECT d, version, count(t) AS n_times, round(min(t), 6) AS least, round(max(t), 6) AS longest, round(avg(t), 4) AS mean, count(t) AS n_candidates, max(t) AS peak FROM ({TIMINGS}) GROUP BY d, version""")
+@query(f"""SELECT d, version, count(t) AS n_times, round(min(t), 6) AS least, round(max(t), 6) AS longest, round(sum(t), 4) AS total, count(t) AS n_candidates, max(t) AS peak FROM ({TIMINGS}) GROUP BY d, version""")
 def benchmark_json_roundtrip(spark, sf_dir):
     """A benchmark document per day (meta, results by version) written as JSON text, read back and exploded.
 
@@ -508,4 +508,4 @@ def benchmark_json_roundtrip(spark, sf_dir):
     text = whole.select("d", F.to_json(F.struct(F.struct(F.lit("bench").alias("script"), F.col("d").alias("timestamp")).alias("meta"), "results")).alias("json"))
     doc = "meta struct<script: string, timestamp: string>, results map<string, struct<min: double, mean: double, max: double, times: array<double>, kernel_times: array<double>, n_candidates: int, peak: double>>"
     read = text.select(F.from_json("json", doc).alias("j")).select(F.col("j.meta.timestamp").alias("d"), F.explode("j.results").alias("version", "r"))
-    return read.select("d", "version", F.size("r.times").cast("long").alias("n_times"), F.round("r.min", 6).alias("least"), F.round("r.max", 6).alias("longest"), F.round("r.mean", 4).alias("mean"), F.col("r.n_candidates").cast("long").alias("n_candidates"), F.col("r.peak").alias("peak"))
+    return read.select("d", "version", F.size("r.times").cast("long").alias("n_times"), F.round("r.min", 6).alias("least"), F.round("r.max", 6).alias("longest"), F.round(F.col("r.mean") * F.size("r.times"), 4).alias("total"), F.col("r.n_candidates").cast("long").alias("n_candidates"), F.col("r.peak").alias("peak"))
