@@ -34,9 +34,9 @@ def digest(flat_text: Column) -> Column:
 
 
 def known(spark: SparkSession, entries: tuple[tuple[str, str], ...]) -> DataFrame:
-    """(license_id, digest) of a catalogue of known texts, put through the same canonical form. As long as the catalogue."""
+    """(license_id, digest) of a catalogue of known texts, put through the same canonical form; equal texts go by the smaller id."""
     rows = spark.createDataFrame(list(entries), "license_id string, text string")
-    return rows.select("license_id", digest(flat(canonical(F.col("text")))).alias("k_digest")).dropDuplicates(["k_digest"])
+    return rows.select("license_id", digest(flat(canonical(F.col("text")))).alias("k_digest")).groupBy("k_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts=TEXTS, notices=NOTICES) -> DataFrame:
