@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-RATIO, LEAST_PAGES = 0.1, 10
+#: A line that only one page of its site has is no boilerplate, however few pages the site has.
+RATIO, LEAST_PAGES = 0.1, 2
 #: Bytes of hosts and their lists that may be broadcast; beyond, the documents are shuffled to their host's list instead.
 MOST_BROADCAST = 16_000_000
 
@@ -20,7 +21,7 @@ def line_key(line):
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, lines): the keys of each host's boilerplate lines, with n_pages, the host's rows.
 
-    A line is boilerplate if more than ratio of the host's rows contain it and the host has least_pages rows. A line
+    A line is boilerplate if more than ratio of the host's rows contain it, and least_pages of them at least. A line
     counts once per row. The lists are bounded by the data's shape, not by its size: the ratios of a host's lines add
     up to its mean number of lines per page, so at most (lines per page) / ratio lines can exceed it.
     """
@@ -30,7 +31,7 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     counts = lines.groupBy("host", line_key(F.col("line")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
     totals = docs.groupBy(F.col(host).alias("t_host")).agg(F.count(F.lit(1)).alias("n_pages"))
     found = counts.join(totals, F.col("host").eqNullSafe(F.col("t_host")))
-    found = found.where((F.col("n_pages") >= least_pages) & (F.col("n") > F.col("n_pages") * F.lit(ratio)))
+    found = found.where((F.col("n") >= least_pages) & (F.col("n") > F.col("n_pages") * F.lit(ratio)))
     return found.groupBy("t_host").agg(F.collect_list("key").alias("keys"))
 
 
@@ -70,7 +71,7 @@ WITH l AS (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS
 c AS (SELECT source, line, count(*) AS n FROM l WHERE line <> '' GROUP BY source, line),
 t AS (SELECT source, count(*) AS n_pages FROM documents GROUP BY source),
 b AS (SELECT t.source, list(c.line) AS bad FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
-      WHERE n_pages >= 10 AND n > n_pages * 0.1e0 GROUP BY t.source),
+      WHERE n >= 2 AND n > n_pages * 0.1e0 GROUP BY t.source),
 k AS (SELECT doc_id, d.source, string_split(text, chr(10)) AS ls,
              list_filter(string_split(text, chr(10)), lambda x: x = '' OR NOT coalesce(list_contains(bad, x), false)) AS kept
       FROM documents d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)

@@ -87,11 +87,11 @@ def targets(sizes: dict, share: float = 1.5, most: float = 2.0, weights=(3, 1, 2
     return out
 
 
-def line_dedup(rows: list[tuple], ratio: float = 0.1, least: int = 10) -> list[str | None]:
+def line_dedup(rows: list[tuple], ratio: float = 0.1, least: int = 2) -> list[str | None]:
     """Kept text of rows (host, text)."""
     pages = Counter(h for h, _ in rows)
     held = Counter((h, x) for h, t in rows if t is not None for x in set(t.split("\n")) if x)
-    bad = {k for k, n in held.items() if pages[k[0]] >= least and n > pages[k[0]] * ratio}
+    bad = {k for k, n in held.items() if n >= least and n > pages[k[0]] * ratio}
     return [None if t is None else "\n".join(x for x in t.split("\n") if (h, x) not in bad) for h, t in rows]
 
 

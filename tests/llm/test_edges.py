@@ -136,6 +136,17 @@ def test_line_dedup(docs, none, rows):
     assert own.columns == [*docs.columns, "n_dropped", "n_lines", "_n_dropped"] and own.where("n_dropped <> 'mine'").count() == 0
 
 
+def test_line_dedup_on_small_hosts(spark):
+    """A footer goes from hosts of any number of pages; what one page alone has stays, ties at the ratio too."""
+    hosts = {"one": 1, "two": 2, "nine": 9, "ten": 10, "twenty": 20}
+    pages = [(h, f"{h} body {k}\nfooter of {h}" + ("\ntwice" if k < 2 else "")) for h, n in hosts.items() for k in range(n)]
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(pages, "source string, text string"))
+    assert some((r.source, r.text) for r in got.collect()) == some(zip([h for h, _ in pages], brute.line_dedup(pages), strict=True))
+    left = {h: [r.text for r in got.where(F.col("source") == h).collect()] for h in hosts}
+    assert left["one"] == [pages[0][1]] and all("footer" not in t for h in hosts if h != "one" for t in left[h])
+    assert all("twice" not in t for t in left["nine"] + left["ten"]) and sum("twice" in t for t in left["twenty"]) == 2
+
+
 def test_decontaminate(spark, docs, none, rows):
     texts = [r[1] for r in rows]
     items = [(1, " ".join(texts[0].split()[:40])), (2, None), (3, ""), (4, "one"), (5, "two, WORDS!"), (6, " ".join(texts[9].split()[5:50]) + " extra extra2"), (7, "absent words that nobody wrote at all"), (8, texts[48][200:500])]
