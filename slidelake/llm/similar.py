@@ -85,14 +85,17 @@ def similar_links(rows: DataFrame, least: float = LEAST) -> DataFrame:
     Equal sets are one key. Each fingerprint names two of its keys, by two orders that differ from table to table, and the
     others are compared with these: a row per key, table and named key at most, however many keys share a fingerprint.
     """
-    classes = rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("fps").alias("fps"))
-    posts = cut(classes.select("key", "n", F.posexplode("fps").alias("t", "fp")))
-    order = F.xxhash64("key", "t")
-    named = posts.groupBy("t", "fp").agg(F.min_by(F.struct("key", "n"), order).alias("one"), F.max_by(F.struct("key", "n"), order).alias("two"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    named = named.select(F.col("t").alias("n_t"), F.col("fp").alias("n_fp"), F.explode(F.array("one", "two")).alias("hub"))
+    classes = written(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("fps").alias("fps")))
+    posts = classes.select("key", "n", F.posexplode("fps").alias("t", "fp"))  # made anew where read: stored, they are many times classes
+    # Keys are hashes, so a key XOR a table's constant is an order of that table, and names its key.
+    turn = F.xxhash64("t")
+    mixed = F.col("key").bitwiseXOR(turn)
+    named = posts.groupBy("t", "fp").agg(F.min(mixed).alias("one"), F.max(mixed).alias("two"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    named = named.select("t", "fp", F.explode(F.array("one", "two")).alias("mixed")).select(F.col("t").alias("n_t"), F.col("fp").alias("n_fp"), F.col("mixed").bitwiseXOR(turn).alias("hub"))
+    named = named.join(classes.select(F.col("key").alias("h_key"), F.col("n").alias("h_n")), F.col("hub") == F.col("h_key")).drop("h_key")
     met = posts.join(named, (F.col("t") == F.col("n_t")) & (F.col("fp") == F.col("n_fp")))  # AQE splits a fingerprint that very many keys share
-    near = F.least("n", "hub.n") >= F.greatest("n", "hub.n") * F.lit(least)  # sets of other sizes cannot be so similar
-    pairs = cut(met.where((F.col("key") != F.col("hub.key")) & near).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct())
+    near = F.least("n", "h_n") >= F.greatest("n", "h_n") * F.lit(least)  # sets of other sizes cannot be so similar
+    pairs = cut(met.where((F.col("key") != F.col("hub")) & near).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("w_key")).distinct()
     sets = rows.join(wanted, F.col("key") == F.col("w_key")).dropDuplicates(["key"]).select("key", "set")
     sets = written(sets)
