@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,7 +43,10 @@ def shingles_of(text: bytes | None, width: int = WIDTH) -> np.ndarray:
 
 
 def sampled_fingerprints(shingles: np.ndarray) -> np.ndarray:
-    """A SimHash per table, of the SAMPLED shingles that come first under the table's hash: bits that most of them have."""
+    """A SimHash per table, of the SAMPLED shingles that come first under the table's hash: bits that most of them have.
+
+    Each is marked with its table's number by an exclusive or, so that tables hardly ever name each other's.
+    """
     if not len(shingles):
         return np.zeros(TABLES, np.int64)
     with np.errstate(over="ignore"):
@@ -53,9 +56,9 @@ def sampled_fingerprints(shingles: np.ndarray) -> np.ndarray:
     n = min(SAMPLED, len(shingles))
     low = np.partition(h, n - 1, axis=1)[:, :n]
     if n < 3:
-        return np.bitwise_and.reduce(low, axis=1).view(np.int64)
+        return (np.bitwise_and.reduce(low, axis=1) ^ _SEEDS).view(np.int64)
     a, b, c = low[:, 0], low[:, 1], low[:, 2]
-    return ((a & b) | (a & c) | (b & c)).view(np.int64)
+    return (((a & b) | (a & c) | (b & c)) ^ _SEEDS).view(np.int64)
 
 
 def key_of(shingles: np.ndarray) -> int:
@@ -65,7 +68,7 @@ def key_of(shingles: np.ndarray) -> int:
 
 
 def set_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, key, n, fps, set) per row: a hash of its shingle set, the set's size, its fingerprints and the set itself."""
+    """(doc_id, key, n, fps) per row: a hash of its shingle set, the set's size and its fingerprints."""
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
@@ -74,28 +77,38 @@ def set_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
             for first, texts in text_runs(b.column(1)):
                 sets = [shingles_of(t, width) for t in texts]
                 fps = pa.array([sampled_fingerprints(s).tolist() for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), fps, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "key", "n", "fps", "set"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), fps], names=["doc_id", "key", "n", "fps"])
 
-    return src.mapInArrow(run, f"doc_id {kind}, key long, n long, fps array<long>, set binary")
+    return src.mapInArrow(run, f"doc_id {kind}, key long, n long, fps array<long>")
 
 
-def similar_links(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b): keys of different shingle sets of (key, n, fps, set) whose Jaccard similarity is least or more.
+def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """(key, set), one row per key of (key, rep): the shingle sets of the texts with these ids, made from the texts again.
 
-    Equal sets are one key. Each fingerprint names two of its keys, by two orders that differ from table to table, and the
-    others are compared with these: a row per key, table and named key at most, however many keys share a fingerprint.
+    Few texts share a fingerprint with another one, so this reads their texts twice instead of storing every text's set.
     """
-    classes = rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("fps").alias("fps"))
-    posts = cut(classes.select("key", "n", F.posexplode("fps").alias("t", "fp")))
-    order = F.xxhash64("key", "t")
-    named = posts.groupBy("t", "fp").agg(F.min_by(F.struct("key", "n"), order).alias("one"), F.max_by(F.struct("key", "n"), order).alias("two"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    named = named.select(F.col("t").alias("n_t"), F.col("fp").alias("n_fp"), F.explode(F.array("one", "two")).alias("hub"))
-    met = posts.join(named, (F.col("t") == F.col("n_t")) & (F.col("fp") == F.col("n_fp")))  # AQE splits a fingerprint that very many keys share
-    near = F.least("n", "hub.n") >= F.greatest("n", "hub.n") * F.lit(least)  # sets of other sizes cannot be so similar
-    pairs = cut(met.where((F.col("key") != F.col("hub.key")) & near).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w_key")).distinct()
-    sets = rows.join(wanted, F.col("key") == F.col("w_key")).dropDuplicates(["key"]).select("key", "set")
-    sets = written(sets)
+    ids = wanted.select(F.col("rep").alias("w_id")).distinct()
+    size = ids.agg(F.sum(F.octet_length(F.col("w_id").cast("string")) + 16).alias("b")).first().b or 0
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    src = src.join(F.broadcast(ids) if size <= MOST_BYTES else ids, F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, texts in text_runs(b.column(0)):
+                sets = [shingles_of(t, width) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"])
+
+    made = src.mapInArrow(run, "key long, set binary")
+    return written(made.join(wanted.select(F.col("key").alias("w_key")), F.col("key") == F.col("w_key"), "left_semi").dropDuplicates(["key"]))
+
+
+def near_size(a: Column, b: Column, least: float) -> Column:
+    """Whether sets of a and b elements can be so similar."""
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(least)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of least or more."""
     one, two = (sets.select(F.col("key").alias(f"k_{c}"), F.col("set").alias(f"set_{c}")) for c in "ab")
     both = pairs.join(one, F.col("a") == F.col("k_a")).join(two, F.col("b") == F.col("k_b")).select("a", "b", "set_a", "set_b")
 
@@ -111,6 +124,23 @@ def similar_links(rows: DataFrame, least: float = LEAST) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def similar_links(classes: DataFrame, docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """(a, b): keys of different shingle sets of (key, n, fps, rep) whose Jaccard similarity is least or more.
+
+    Equal sets are one key. Each fingerprint names two of its keys, by two orders that differ from fingerprint to fingerprint,
+    and the others are compared with these: a row per key, fingerprint and named key at most, however many keys share one.
+    """
+    posts = classes.where("n > 0").select("key", "n", "rep", F.explode("fps").alias("fp"))
+    order = F.xxhash64("key", "fp")
+    named = posts.groupBy("fp").agg(F.min_by(F.struct("key", "n"), order).alias("one"), F.max_by(F.struct("key", "n"), order).alias("two"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    named = named.select(F.col("fp").alias("n_fp"), "one", "two")
+    met = written(posts.join(named, F.col("fp") == F.col("n_fp")).drop("n_fp"))  # AQE splits a fingerprint that very many keys share
+    sets = sets_of(docs, met.select("key", "rep").distinct(), doc_id, text, width)
+    asked = met.select("key", "n", F.explode(F.array("one", "two")).alias("hub")).where((F.col("key") != F.col("hub.key")) & near_size(F.col("n"), F.col("hub.n"), least))
+    pairs = asked.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
+    return verified(pairs, sets, least)
+
+
 def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """docs with one document of each group of near-duplicates, that of the smallest id; all columns as they are.
 
@@ -120,9 +150,9 @@ def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     names; an empty table gives no rows.
     """
     rows = written(set_rows(docs, doc_id, text, width))
-    roots = components(similar_links(rows, least)).select(F.col("node").alias("r_key"), "root")
-    keys = rows.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    keys = keys.join(roots, F.col("key") == F.col("r_key"), "left").withColumn("root", F.coalesce("root", "key"))
+    classes = written(rows.groupBy("key").agg(F.first("n").alias("n"), F.first("fps").alias("fps"), F.min("doc_id").alias("rep")))
+    roots = components(similar_links(classes, docs, least, doc_id, text, width)).select(F.col("node").alias("r_key"), "root")
+    keys = classes.select("key", "rep").join(roots, F.col("key") == F.col("r_key"), "left").withColumn("root", F.coalesce("root", "key"))
     first = F.struct(F.col("rep").isNull().alias("none"), "rep", "key")
     best = keys.groupBy(F.col("root").alias("b_root")).agg(F.min(first).alias("best"))
     # A row stays if its set is its group's best and its id that set's first.
