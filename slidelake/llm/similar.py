@@ -4,8 +4,9 @@ Two texts of Jaccard similarity 0.8 differ in about 10 of a SimHash's 64 bits. W
 nothing, as unrelated fingerprints lie 32 bits apart, give or take 4: every branch overlaps every other. So each text has
 TABLES fingerprints here, each the SimHash of the SAMPLED shingles that are smallest under a hash of that table. Two texts
 draw the same ones with a chance of about the cube of their similarity, at 0.8 in half of the tables, and none of the 16 with
-a chance of 1 in 100,000; unrelated texts hardly ever do. Texts with a fingerprint in common are compared with two of the
-texts that share it, never with all, by their whole shingle sets.
+a chance of 1 in 100,000; unrelated texts hardly ever do. Texts with a fingerprint in common are first compared with two of
+the texts that share it, by their whole shingle sets. Where that leaves the texts of a fingerprint in several groups, an exact
+join of their sets by rare shingles finds the links that are left (rest_links), so no text is compared with all others.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .components import components
 WIDTH, LEAST, TABLES, SAMPLED = 5, 0.8, 16, 3
 #: Ids of dropped rows that may be broadcast, in bytes; more are joined by a shuffle.
 MOST_BYTES = 16_000_000
+#: Buckets of shingle counts: they only order shingles, so any number gives the same links.
+BUCKETS = 1 << 20
 
 _SEEDS = np.random.default_rng(23).integers(1, 2**63, TABLES, dtype=np.uint64)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -124,11 +127,11 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def similar_links(classes: DataFrame, docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(a, b): keys of different shingle sets of (key, n, fps, rep) whose Jaccard similarity is least or more.
+def hub_links(classes: DataFrame, docs: DataFrame, least: float, doc_id: str, text: str, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links to the keys that fingerprints name, the keys of each shared fingerprint, and the sets of these.
 
-    Equal sets are one key. Each fingerprint names two of its keys, by two orders that differ from fingerprint to fingerprint,
-    and the others are compared with these: a row per key, fingerprint and named key at most, however many keys share one.
+    Each fingerprint names two of its keys, by two orders that differ from fingerprint to fingerprint, and the others are
+    compared with these: a row per key, fingerprint and named key at most, however many keys share one.
     """
     posts = classes.where("n > 0").select("key", "n", "rep", F.explode("fps").alias("fp"))
     order = F.xxhash64("key", "fp")
@@ -138,9 +141,77 @@ def similar_links(classes: DataFrame, docs: DataFrame, least: float = LEAST, doc
     sets = sets_of(docs, met.select("key", "rep").distinct(), doc_id, text, width)
     asked = met.select("key", "n", F.explode(F.array("one", "two")).alias("hub")).where((F.col("key") != F.col("hub.key")) & near_size(F.col("n"), F.col("hub.n"), least))
     pairs = asked.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
+    return cut(verified(pairs, sets, least)), met, sets
+
+
+def shingle_counts(sets: DataFrame, buckets: int) -> np.ndarray:
+    """How many shingles of (set) fall into each of a fixed number of buckets, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for b in batches:
+            for v in b.column(0):
+                total += np.bincount((np.frombuffer(v.as_buffer(), np.uint64) % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "c"])
+
+    counts = sets.select("set").mapInArrow(run, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(buckets, np.int64)
+    out[counts["bucket"].to_numpy()] = counts["c"].to_numpy()
+    return out
+
+
+def rest_links(groups: DataFrame, met: DataFrame, sets: DataFrame, least: float, buckets: int = BUCKETS) -> DataFrame:
+    """(a, b): every link that hub_links leaves out between keys of different groups (node, root) that share a fingerprint.
+
+    Only fingerprints whose keys, the named two aside, lie in several groups can hide a link. Over the keys of these the join
+    is exact: two sets of n and m elements that are least alike share one of the first n - ceil(least * n) + 1 of the one and of
+    the first m - ceil(least * m) + 1 of the other, whatever the order. Elements go rare first, by counts of a fixed number
+    of buckets, so what many texts share is hardly ever among the first.
+    """
+    own = met.where((F.col("key") != F.col("one.key")) & (F.col("key") != F.col("two.key"))).select("fp", "key")
+    own = own.join(groups, F.col("key") == F.col("node"), "left").select("fp", "key", F.coalesce("root", "key").alias("root"))
+    open_fp = own.groupBy("fp").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("fp").alias("o_fp"))
+    left = own.join(open_fp, F.col("fp") == F.col("o_fp"), "left_semi").select(F.col("key").alias("l_key"), "root").distinct()
+    some = written(sets.join(left, F.col("key") == F.col("l_key")).select("key", "root", "set"))
+    counts = sets.sparkSession.sparkContext.broadcast(np.minimum(shingle_counts(some, buckets), 2**31 - 1).astype(np.int32))  # 4 bytes a bucket
+    names = ["key", "root", "n", "at", "shingle"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in batches:
+            for key, root, v in zip(*b.columns, strict=True):
+                x = np.frombuffer(v.as_buffer(), np.uint64)
+                first = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1
+                rare = np.lexsort((x, counts.value[(x % np.uint64(buckets)).astype(np.int64)]))[:first]
+                alike = (np.full(first, c, np.int64) for c in (key.as_py(), root.as_py(), len(x)))
+                held.append(np.stack([*alike, np.arange(first), x[rare].view(np.int64)]))
+                if sum(h.shape[1] for h in held) > 50_000 or len(held) > 500:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.hstack(held)], names=names)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.hstack(held)], names=names)
+
+    posts = written(some.mapInArrow(run, ", ".join(f"{c} long" for c in names)))
+    one, two = (posts.select(*[F.col(c).alias(f"{side}_{c}") for c in posts.columns]) for side in "ab")
+    ahead = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))  # the first shared element has all the others behind it
+    enough = ahead * (1 + least) >= (F.col("a_n") + F.col("b_n")) * least - 1e-6
+    other = (F.col("a_key") < F.col("b_key")) & (F.col("a_root") != F.col("b_root")) & near_size(F.col("a_n"), F.col("b_n"), least)
+    pairs = one.join(two, (F.col("a_shingle") == F.col("b_shingle")) & other & enough).select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
     return verified(pairs, sets, least)
 
 
+def similar_groups(classes: DataFrame, docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """(node, root): keys of (key, n, fps, rep) with the smallest key that links of similarity least or more lead to.
+
+    Equal sets are one key. Keys without any link are left out.
+    """
+    hubs, met, sets = hub_links(classes, docs, least, doc_id, text, width)
+    groups = components(hubs)
+    rest = rest_links(groups, met, sets, least)
+    return components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
+
+
 def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """docs with one document of each group of near-duplicates, that of the smallest id; all columns as they are.
 
@@ -151,7 +222,7 @@ def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     rows = written(set_rows(docs, doc_id, text, width))
     classes = written(rows.groupBy("key").agg(F.first("n").alias("n"), F.first("fps").alias("fps"), F.min("doc_id").alias("rep")))
-    roots = components(similar_links(classes, docs, least, doc_id, text, width)).select(F.col("node").alias("r_key"), "root")
+    roots = similar_groups(classes, docs, least, doc_id, text, width).select(F.col("node").alias("r_key"), "root")
     keys = classes.select("key", "rep").join(roots, F.col("key") == F.col("r_key"), "left").withColumn("root", F.coalesce("root", "key"))
     first = F.struct(F.col("rep").isNull().alias("none"), "rep", "key")
     best = keys.groupBy(F.col("root").alias("b_root")).agg(F.min(first).alias("best"))

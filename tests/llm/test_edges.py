@@ -416,3 +416,33 @@ def test_copies_take_no_other_vector_s_place(spark):
     exact = lambda q: [i for i in np.lexsort((np.arange(1500), -(v @ v[q]).round(12))) if i != q][:20]
     assert got[500] == exact(500) == list(range(501, 521)) and got[520] == [*range(500, 520)]
     assert sum(len(set(got[q]) & set(exact(q))) for q in got) / (20 * len(got)) >= 0.9
+
+
+def test_similar_finds_links_that_no_named_text_has(spark):
+    """All texts share the one fingerprint, which names two of them; the links of all others are found as well."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [word() for _ in range(60)]
+    texts = ["", "one", "one two three four five", "a b c d e f", "a b c d e f g", "a b c d e f g h"]
+    for _ in range(40):  # 0.6 and less between families, chains of links around 0.8 within one
+        own = [*shared, *[word() for _ in range(24)]]
+        for _ in range(4):
+            texts.append(" ".join(own))
+            k = rng.randrange(60, 84)
+            own = [*own[:k], word(), *own[k + rng.randrange(2) :], *[word() for _ in range(rng.randrange(5))]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = similar.set_rows(table, "doc_id", "text", 5).withColumnRenamed("doc_id", "rep")
+    classes = similar.written(rows.withColumn("fps", F.expr("array(7L)")))
+    hubs, met, sets = similar.hub_links(classes, table, 0.8, "doc_id", "text", 5)
+    groups = similar.components(hubs)
+    few = {tuple(r) for r in similar.rest_links(groups, met, sets, 0.8, buckets=7).collect()}
+    assert len(few) > 20 and few == {tuple(r) for r in similar.rest_links(groups, met, sets, 0.8).collect()}
+    key = {r.key: r.rep for r in classes.collect()}
+    roots = brute.similar(texts)
+    got: dict = {}
+    for r in similar.similar_groups(classes, table).collect():
+        got.setdefault(r.root, set()).add(key[r.node])
+    want: dict = {}
+    for i, r in enumerate(roots):
+        want.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
