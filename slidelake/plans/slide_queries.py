@@ -35,30 +35,40 @@ def size_of(k: int) -> tuple[int, int]:
     return TILE * (4 + k % 3) - k % 5, TILE * (3 + k % 4) - k % 7
 
 
-def tile_of(k: int, t: int) -> bytes | None:
-    """Tile t of slide k; None where it has no bytes."""
-    if (k + t) % 11 == 0:
-        return None
+def tiles_of(k: np.ndarray, t: np.ndarray) -> list[bytes | None]:
+    """Tiles t of slides k; None where one has no bytes."""
     own = (k + t) % 7 == 0  # its own tables: half the step, twice the coefficients
-    coefs = np.zeros((4, 6, 64), np.int64)
-    m, b = np.arange(4)[:, None], np.arange(4)[None]
-    coefs[:, :4, 0] = (k * 37 + t * 53 + m * 29 + b * 17) % LEVELS - 128
-    coefs[:, :4, _WAVE_X] = (k + t * 3 + m + b) % 7 - 3
-    coefs[:, :4, _WAVE_Y] = (k * 2 + t + m * 2 + b) % 5 - 2
-    coefs[:, 4, 0] = ((k * 11 + t * 7 + m * 5) % LEVELS - 128)[:, 0]
-    coefs[:, 5, 0] = ((k * 5 + t * 13 + m * 3) % LEVELS - 128)[:, 0]
-    coefs *= 2 if own else 1
-    coefs[:, :4, 0] = np.diff(coefs[:, :4, 0].ravel(), prepend=0).reshape(4, 4)
-    coefs[:, 4:, 0] = np.diff(coefs[:, 4:, 0], axis=0, prepend=0)
-    body = fixtures.stream(coefs, TILE, TILE, (2, 2), [QUANT // 2] * 64 if own else None)
-    return body[: len(body) // 2] if (k * 7 + t) % 97 == 0 else body
-
-
-def slide_of(k: int) -> bytes:
-    w, h = size_of(k)
-    tiles = [tile_of(k, t) for t in range(-(-w // TILE) * -(-h // TILE))]
+    coefs = np.zeros((len(k), 4, 6, 64), np.int64)
+    own_k, own_t = k, t
+    k, t = k[:, None, None], t[:, None, None]
+    m, b = np.arange(4)[None, :, None], np.arange(4)[None, None]
+    coefs[:, :, :4, 0] = (k * 37 + t * 53 + m * 29 + b * 17) % LEVELS - 128
+    coefs[:, :, :4, _WAVE_X] = (k + t * 3 + m + b) % 7 - 3
+    coefs[:, :, :4, _WAVE_Y] = (k * 2 + t + m * 2 + b) % 5 - 2
+    coefs[:, :, 4, 0] = ((k * 11 + t * 7 + m * 5) % LEVELS - 128)[:, :, 0]
+    coefs[:, :, 5, 0] = ((k * 5 + t * 13 + m * 3) % LEVELS - 128)[:, :, 0]
+    coefs *= np.where(own, 2, 1)[:, None, None, None]
+    coefs[:, :, :4, 0] = np.diff(coefs[:, :, :4, 0].reshape(-1, 16), axis=1, prepend=0).reshape(-1, 4, 4)
+    coefs[:, :, 4:, 0] = np.diff(coefs[:, :, 4:, 0], axis=1, prepend=0)
+    heads = [fixtures.stream_head(TILE, TILE, (2, 2), q) for q in (None, [QUANT // 2] * 64)]
+    out = []
+    for kk, tt, o, scan in zip(own_k.tolist(), own_t.tolist(), own.tolist(), fixtures.many_scans(coefs), strict=True):
+        body = heads[o] + scan + b"\xff\xd9"
+        out.append(None if (kk + tt) % 11 == 0 else body[: len(body) // 2] if (kk * 7 + tt) % 97 == 0 else body)
+    return out
+
+
+def slides_made(keys: list[int]) -> Iterator[tuple[int, bytes]]:
+    """(key, slide) of each key; tiles of several slides are coded at once."""
     tables = b"\xff\xd8" + fixtures.tables_of([QUANT] * 64) + b"\xff\xd9"
-    return fixtures.tiff_bytes(w, h, TILE, tiles, tables, compression=5 if k % 50 == 0 else 7, order="<" if k % 2 else ">")
+    for i in range(0, len(keys), 64):
+        some = keys[i : i + 64]
+        n = [-(-w // TILE) * -(-h // TILE) for w, h in map(size_of, some)]
+        tiles = tiles_of(np.repeat(np.array(some, np.int64), n), np.concatenate([np.arange(c) for c in n]))
+        at = 0
+        for k, c in zip(some, n, strict=True):
+            yield k, fixtures.tiff_bytes(*size_of(k), TILE, tiles[at : at + c], tables, compression=5 if k % 50 == 0 else 7, order="<" if k % 2 else ">")
+            at += c
 
 
 def written(spark: SparkSession, sf_dir: str) -> str:
@@ -74,13 +84,13 @@ def written(spark: SparkSession, sf_dir: str) -> str:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store = pafs.LocalFileSystem() if local else pafs.FileSystem.from_uri(target)[0]
             for b in batches:
-                for k in b.column(0).to_pylist():
+                for k, body in slides_made(b.column(0).to_pylist()):
                     with store.open_output_stream(f"{inner}/s{k}.tif") as f:  # a task that runs again writes the same file
-                        f.write(slide_of(k))
+                        f.write(body)
                 yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
         keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long")).distinct()
-        keys.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+        keys.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(run, "n long").agg(F.sum("n")).collect()
         _WRITTEN[key] = target
     return _WRITTEN[key]
 

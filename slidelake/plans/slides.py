@@ -13,10 +13,10 @@ from pyspark.sql.types import StructType
 
 from ..functions.pixels import BLACK, REJECT, WHITE, keeps
 from ..sources import jpeg
-from ..sources.tiff import Files, checked, directory, listed, one_file, register
+from ..sources.tiff import FILE, Files, checked, directory, listed, one_file, register
 
-#: Tiles that are read together; their compressed bytes are in memory meanwhile.
-LOCK_STEP = 512
+#: Tiles that are read together, and the compressed bytes up to which more small ones are, of whatever slides.
+LOCK_STEP, LOCK_BYTES = 512, 4 << 20
 LEAST_PART, MOST_PART = 1 << 20, 8 << 20
 GEOMETRY = ("slide_id", "path", "width", "height", "tile_w", "tile_h", "tile_id", "tile_row", "tile_col", "offset", "bytecount")
 
@@ -29,9 +29,9 @@ def _read(spark: SparkSession, path: str, mode: str, **options) -> DataFrame:
 def index_of(spark: SparkSession, path: str) -> DataFrame:
     """A row per tile of every slide that can be decoded, without its bytes; neighbouring tiles lie in one partition.
 
-    A partition stands for MOST_PART bytes of a slide, or for fewer where that would leave cores idle.
+    A partition stands for MOST_PART bytes of slides, or for fewer where that would leave cores idle.
     """
-    total = sum(size for _, size in listed(path))
+    total = sum(max(FILE, size) for _, size in listed(path))
     return _read(spark, path, "index", partitionbytes=max(LEAST_PART, min(MOST_PART, total // (3 * spark.sparkContext.defaultParallelism))))
 
 
@@ -81,22 +81,40 @@ def rows_of(batch: pa.RecordBatch) -> list[Tile]:
 
 
 def decoded(rows: list[Tile]) -> Iterator[tuple[list[int], jpeg.Group]]:
-    """(positions among rows, decoded group) of the rows that have bytes, by slide and in file order."""
+    """(positions among rows, decoded group) of the rows that have bytes, read by slide and in file order.
+
+    Tiles are decoded in lock step across slides that share tables and tile size, so small slides are no slower than a large one.
+    """
     by: dict[str, list[int]] = {}
     for i, r in enumerate(rows):
         if r.bytecount > 0:
             by.setdefault(r.path, []).append(i)
+    held: dict[tuple[bytes, int, int], tuple[list[int], list[bytes]]] = {}
+    n = size = 0
+
+    def done() -> Iterator[tuple[list[int], jpeg.Group]]:
+        for (tables, w, h), (at, raw) in held.items():
+            for g in jpeg.decode(raw, tables, (w, h)):
+                yield [at[j] for j in g.at], g
+        held.clear()
+
     for path, at in by.items():
         tables = checked(directory(path)).jpegtables
         f = Files(path)
         try:
             at.sort(key=lambda i: rows[i].offset)
-            for k in range(0, len(at), LOCK_STEP):
-                some = at[k : k + LOCK_STEP]
-                for g in jpeg.decode([f.read(rows[i].offset, rows[i].bytecount) for i in some], tables, (rows[some[0]].tile_w, rows[some[0]].tile_h)):
-                    yield [some[j] for j in g.at], g
+            for i in at:
+                r = rows[i]
+                own = held.setdefault((tables, r.tile_w, r.tile_h), ([], []))
+                own[0].append(i)
+                own[1].append(f.read(r.offset, r.bytecount))
+                n, size = n + 1, size + r.bytecount
+                if n >= LOCK_STEP and size >= LOCK_BYTES:
+                    yield from done()
+                    n = size = 0
         finally:
             f.close()
+    yield from done()
 
 
 def gray_of(planes: list[np.ndarray], precision: str) -> np.ndarray:

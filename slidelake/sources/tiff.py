@@ -18,6 +18,8 @@ SLIDES = "slide_id string, path string, width int, height int, tile_w int, tile_
 INDEX = "slide_id string, path string, width int, height int, tile_w int, tile_h int, tile_id bigint, tile_row int, tile_col int, ntx bigint, offset bigint, bytecount bigint"
 TILES = INDEX + ", raw binary"
 JPEG = 7
+#: What a file weighs at least when small slides are packed into tasks, in bytes: opening one costs as much as reading so many.
+FILE = 1 << 14
 
 #: TIFF tag numbers that are read.
 WIDTH, HEIGHT, COMPRESSION, TILE_WIDTH, TILE_HEIGHT, OFFSETS, BYTECOUNTS, JPEGTABLES = 256, 257, 259, 322, 323, 324, 325, 347
@@ -157,7 +159,7 @@ def one_file(path: str) -> bool:
 
 @dataclass
 class Part(InputPartition):
-    """Slides by their headers, or part k of n of one slide's tiles, cut by their bytes."""
+    """Slides by their headers, whole slides by their tiles, or part k of n of one slide's tiles, cut by their bytes."""
 
     paths: tuple[str, ...]
     k: int = 0
@@ -167,7 +169,7 @@ class Part(InputPartition):
 class TiffReader(DataSourceReader):
     """Planned from file sizes alone: directories are read in tasks.
 
-    partitionbytes: bytes of a slide per task. onerror: "raise", or "skip" slides that cannot be read or decoded (in mode
+    partitionbytes: bytes of slides per task; small slides share one, large ones are cut. onerror: "raise", or "skip" slides that cannot be read or decoded (in mode
     slides they are rows with an error).
     """
 
@@ -186,21 +188,35 @@ class TiffReader(DataSourceReader):
         files = listed(self.path)
         if self.mode == "slides":
             return [Part(tuple(p for p, _ in files[k : k + self.headers])) for k in range(0, len(files), self.headers)]
-        return [Part((p,), k, n) for p, size in files for n in [max(1, -(-size // self.bytes))] for k in range(n)]
+        out: list[InputPartition] = []
+        some: list[str] = []
+        held = 0
+        for p, size in files:
+            if some and held + max(FILE, size) > self.bytes:
+                out.append(Part(tuple(some)))
+                some, held = [], 0
+            if size > self.bytes:
+                n = -(-size // self.bytes)
+                out += [Part((p,), k, n) for k in range(n)]
+            else:
+                some.append(p)
+                held += max(FILE, size)
+        return [*out, Part(tuple(some))] if some else out
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         if self.mode == "slides":
             yield self._headers(part.paths)
             return
-        try:
-            d = read_directory(part.paths[0])
-            if self.skip:
-                checked(d)
-        except (ValueError, OSError):
-            if self.skip:
-                return
-            raise
-        yield from self._tiles(d, part)
+        for path in part.paths:
+            try:
+                d = read_directory(path)
+                if self.skip:
+                    checked(d)
+            except (ValueError, OSError):
+                if self.skip:
+                    continue
+                raise
+            yield from self._tiles(d, part)
 
     def _headers(self, paths: tuple[str, ...]) -> pa.RecordBatch:
         rows = []

@@ -192,3 +192,34 @@ def test_arrivals(spark, folder, tmp_path):
     q.awaitTermination(120)
     got = {r.slide_id for r in spark.read.parquet(str(tmp_path / "out")).select("slide_id").distinct().collect()}
     assert got == {"mixed", "edge", "small"} and len(os.listdir(tmp_path / "out")) == 3
+
+
+def test_small_slides_share_tasks_and_steps(spark, folder, tmp_path, monkeypatch):
+    """Many small slides are few tasks, a bad one among them is skipped, and tiles of several slides go in lock step."""
+    from slidelake.plans import slide_queries as sq
+
+    for k, body in sq.slides_made(list(range(1, 61))):
+        (tmp_path / f"s{k}.tif").write_bytes(body)
+    register = tiff.TiffReader({"path": str(tmp_path), "mode": "index", "onerror": "skip"})
+    parts = register.partitions()
+    rows = [r for p in parts for b in register.read(p) for r in slides.rows_of(b)]
+    assert len(parts) == 1 and len({r.path for r in rows}) == 59  # slide 50 is of another compression
+    calls = []
+    plain = jpeg.coefficients
+    monkeypatch.setattr(jpeg, "coefficients", lambda tiles, h: calls.append(len(tiles)) or plain(tiles, h))
+    got = {i: (None if g.damaged[j] else [c[j].tobytes() for c in g.planes]) for at, g in slides.decoded(rows) for j, i in enumerate(at)}
+    assert len(calls) < 20 and len(got) == sum(r.bytecount > 0 for r in rows)
+    for i in range(0, len(rows), 97):
+        if rows[i].bytecount:
+            ((_, alone),) = slides.decoded([rows[i]])
+            assert got[i] == (None if alone.damaged[0] else [c[0].tobytes() for c in alone.planes])
+
+
+def test_scans_coded_at_once():
+    """Tiles coded together are byte for byte those coded alone, runs of zeros and stuffing included."""
+    rng = np.random.default_rng(7)
+    coefs = rng.integers(-1000, 1000, (40, 2, 3, 64)) * (rng.random((40, 2, 3, 64)) < rng.random((40, 1, 1, 1)) ** 4)
+    coefs[0] = 0
+    coefs[1, ..., 1:] = 0
+    coefs[1, ..., 63] = 5
+    assert fixtures.many_scans(coefs) == [fixtures.scan_bytes(c) for c in coefs]
