@@ -56,7 +56,7 @@ def setting(spark: SparkSession, **conf: str) -> Iterator[None]:
 
 
 def counts_by_patch(spark: SparkSession, path: str, patch: int, stride: int, white: int = WHITE, black: int = BLACK) -> DataFrame:
-    """As patch_counts, by reading every patch for itself: tiles that patches share are decoded again."""
+    """As patch_counts, by making the pixels of every patch: tiles that patches share are decoded again, those of a batch aside."""
     from ..sources.jpeg import luma_of
 
     cand = candidates(slides_of(spark, path).select("slide_id", "path", "w", "h"), patch, stride).drop("w", "h")

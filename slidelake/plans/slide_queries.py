@@ -248,7 +248,7 @@ def slide_pixels(spark, sf_dir):
             placed = ((body @ np.array([1, 3, 7])) * (np.arange(body.shape[1]) % 8191)).sum(axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *[pa.array(sums[:, c]) for c in range(3)], pa.array(placed)], names=["slide_id", "x", "y", "red", "green", "blue", "placed"])
 
-    out = slides.patch_pixels(kept, 48).mapInArrow(run, "slide_id string, x long, y long, red long, green long, blue long, placed long")
+    out = slides.patch_pixels(slides.neighbours(kept), 48).mapInArrow(run, "slide_id string, x long, y long, red long, green long, blue long, placed long")
     return out.select(key_of(), "x", "y", "red", "green", "blue", "placed")
 
 
@@ -266,5 +266,5 @@ def slide_normalised(spark, sf_dir):
             means = np.array([normalised(np.frombuffer(v, np.uint8).reshape(64, 64, 3)).astype(np.float64).mean(axis=(1, 2)) for v in b.column(4).to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *[pa.array(means[:, c]) for c in range(3)]], names=["slide_id", "x", "y", "red", "green", "blue"])
 
-    out = slides.patch_pixels(kept, 64).mapInArrow(run, "slide_id string, x long, y long, red double, green double, blue double")
+    out = slides.patch_pixels(slides.neighbours(kept), 64).mapInArrow(run, "slide_id string, x long, y long, red double, green double, blue double")
     return out.select(key_of(), "x", "y", *[F.round(c, 4).alias(c) for c in ("red", "green", "blue")])

@@ -17,6 +17,8 @@ from ..sources.tiff import FILE, Files, checked, directory, listed, one_file, re
 
 #: Tiles that are read together, and the compressed bytes up to which more small ones are, of whatever slides.
 LOCK_STEP, LOCK_BYTES = 512, 4 << 20
+#: Bytes of patches that patch_pixels holds at a time, and the side of the squares of a slide that neighbours keeps together.
+PATCH_BYTES, SQUARE = 32 << 20, 8192
 LEAST_PART, MOST_PART = 1 << 20, 8 << 20
 GEOMETRY = ("slide_id", "path", "width", "height", "tile_w", "tile_h", "tile_id", "tile_row", "tile_col", "offset", "bytecount")
 
@@ -296,29 +298,51 @@ def tissue(spark: SparkSession, path: str, patch: int = 1024, stride: int = 1024
 def patch_pixels(kept: DataFrame, patch: int) -> DataFrame:
     """kept (with path, x, y) and rgb, the patch's patch x patch x 3 bytes; null if one of its tiles is damaged.
 
-    Each row reads just its own tiles; no shuffle. Tiles without bytes are black.
+    Rows stay where they are, in their order. Those whose pixels fit PATCH_BYTES are made together, so a tile that several of
+    them take is read and decoded once for all of them (see neighbours). Tiles without bytes are black.
     """
     at = [kept.columns.index(c) for c in ("path", "x", "y")]
-
-    def pixels(path: str, x: int, y: int) -> bytes | None:
-        d = checked(directory(path))
-        out = np.zeros((patch, patch, 3), np.uint8)
-        tiles = [Tile(d.slide_id, path, d.width, d.height, d.tile_w, d.tile_h, k, r, c, int(d.offsets[k]), int(d.bytecounts[k])) for r in range(y // d.tile_h, -(-(y + patch) // d.tile_h)) for c in range(x // d.tile_w, -(-(x + patch) // d.tile_w)) for k in [r * d.ntx + c]]
-        for some, g in decoded(tiles):
-            if g.damaged.any():
-                return None
-            px = jpeg.rgb(g.planes)
-            for k, i in enumerate(some):
-                top, left = tiles[i].tile_row * d.tile_h - y, tiles[i].tile_col * d.tile_w - x
-                y0, x0, y1, x1 = max(0, top), max(0, left), min(patch, top + d.tile_h), min(patch, left + d.tile_w)
-                out[y0:y1, x0:x1] = px[k, y0 - top : y1 - top, x0 - left : x1 - left]
-        return out.tobytes()
+    together = max(1, PATCH_BYTES // (3 * patch * patch))
+
+    def pixels(rows: list[tuple[str, int, int]]) -> list[bytes | None]:
+        tiles: dict[tuple[str, int], int] = {}
+        found: list[Tile] = []
+        users: list[list[int]] = []  # the rows that take a tile
+        for i, (path, x, y) in enumerate(rows):
+            d = checked(directory(path))
+            for r in range(y // d.tile_h, -(-(y + patch) // d.tile_h)):
+                for k in range(r * d.ntx + x // d.tile_w, r * d.ntx - (-(x + patch) // d.tile_w)):
+                    t = tiles.setdefault((path, k), len(found))
+                    if t == len(found):
+                        found.append(Tile(d.slide_id, path, d.width, d.height, d.tile_w, d.tile_h, k, r, k - r * d.ntx, int(d.offsets[k]), int(d.bytecounts[k])))
+                        users.append([])
+                    users[t].append(i)
+        out = np.zeros((len(rows), patch, patch, 3), np.uint8)
+        bad = np.zeros(len(rows), bool)
+        for some, g in decoded(found):
+            px = jpeg.rgb(g.planes) if g.planes else None
+            for k, t in enumerate(some):
+                if g.damaged[k]:
+                    bad[users[t]] = True
+                    continue
+                tile = found[t]
+                for i in users[t]:
+                    top, left = tile.tile_row * tile.tile_h - rows[i][2], tile.tile_col * tile.tile_w - rows[i][1]
+                    y0, x0, y1, x1 = max(0, top), max(0, left), min(patch, top + tile.tile_h), min(patch, left + tile.tile_w)
+                    out[i, y0:y1, x0:x1] = px[k, y0 - top : y1 - top, x0 - left : x1 - left]
+        return [None if b else o.tobytes() for o, b in zip(out, bad, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1)
-                body = pixels(*(row.column(k)[0].as_py() for k in at))
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([body], pa.binary())], names=[*row.schema.names, "rgb"])
+            for i in range(0, b.num_rows, together):
+                some = b.slice(i, together)
+                body = pixels(list(zip(*(some.column(k).to_pylist() for k in at), strict=True)))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(body, pa.binary())], names=[*some.schema.names, "rgb"])
 
     return kept.mapInArrow(run, StructType(list(kept.schema.fields)).add("rgb", "binary"))
+
+
+def neighbours(kept: DataFrame) -> DataFrame:
+    """kept (with path, x, y), the patches of a square of a slide in one task, slide by slide and row by row."""
+    n = max(4 * kept.sparkSession.sparkContext.defaultParallelism, int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return kept.repartition(n, "path", F.floor(F.col("x") / SQUARE), F.floor(F.col("y") / SQUARE)).sortWithinPartitions("path", "y", "x")

@@ -2,6 +2,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from slidelake import fixtures
 from slidelake.dataset import SlideDataset, normalised
@@ -223,3 +224,37 @@ def test_scans_coded_at_once():
     coefs[1, ..., 1:] = 0
     coefs[1, ..., 63] = 5
     assert fixtures.many_scans(coefs) == [fixtures.scan_bytes(c) for c in coefs]
+
+
+def test_patches_share_tiles(spark, folder, monkeypatch):
+    """Rows keep their order; a tile that several patches of a batch take is decoded once; neighbours lose no row."""
+    from slidelake.operators.grid import candidates
+
+    cand = candidates(slides.slides_of(spark, str(folder)).select("slide_id", "path", "w", "h"), 300, 250).drop("w", "h")
+    near = slides.neighbours(cand)
+    key = lambda r: (r.path, r.x, r.y)
+    assert sorted(map(key, near.collect())) == sorted(map(key, cand.collect()))
+    assert len({tuple(sorted(p)) for p in near.select("path", F.spark_partition_id().alias("p")).distinct().groupBy("path").agg(F.collect_list("p").alias("p")).select("p").toArrow()["p"].to_pylist()}) <= 3
+    one = {key(r): r.rgb for r in slides.patch_pixels(near.orderBy("path", "y", "x"), 300).collect()}
+    many = slides.patch_pixels(cand.orderBy(F.desc("path"), "x", "y").coalesce(1), 300).collect()
+    assert [key(r) for r in many] == [key(r) for r in cand.orderBy(F.desc("path"), "x", "y").collect()]
+    assert {key(r): r.rgb for r in many} == one and None in one.values()
+    wants = []
+    batch = []
+
+    class Frame:  # takes the function that tasks run
+        columns, schema = cand.columns, cand.schema
+
+        def mapInArrow(self, run, schema):
+            batch.append(run)
+
+    slides.patch_pixels(Frame(), 300)
+    plain = jpeg.decode
+    monkeypatch.setattr(jpeg, "decode", lambda tiles, *a: wants.append(len(tiles)) or plain(tiles, *a))
+    mixed = cand.where("slide_id = 'small'").toArrow()
+    (out,) = batch[0](iter(mixed.to_batches()))
+    assert out.num_rows == 1 == sum(wants)
+    wants.clear()
+    edge = cand.where("slide_id = 'edge'").toArrow().combine_chunks()
+    (out,) = batch[0](iter(edge.to_batches()))
+    assert out.num_rows == 25 and sum(wants) == 9
