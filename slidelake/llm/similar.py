@@ -6,7 +6,8 @@ TABLES fingerprints here, each the SimHash of the SAMPLED shingles that are smal
 draw the same ones with a chance of about the cube of their similarity, at 0.8 in half of the tables, and none of the 16 with
 a chance of 1 in 100,000; unrelated texts hardly ever do. Texts with a fingerprint in common are first compared with two of
 the texts that share it, by their whole shingle sets. Where that leaves the texts of a fingerprint in several groups, an exact
-join of their sets by rare shingles finds the links that are left (rest_links), so no text is compared with all others.
+join of their sets by rare shingles finds the links that are left (rest_links), so no text is compared with all others. Where
+many texts share even rare shingles, all of them are compared inside tasks, in blocks, and links that span their groups come out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ WIDTH, LEAST, TABLES, SAMPLED = 5, 0.8, 16, 3
 MOST_BYTES = 16_000_000
 #: Buckets of shingle counts: they only order shingles, so any number gives the same links.
 BUCKETS = 1 << 20
+#: Keys that share a rare shingle, up to which their pairs are rows; where more do, they are compared inside tasks.
+MOST_LIST = 8
+#: About so many keys, and bytes of their sets, make a block of those that are compared inside tasks, two blocks at a time.
+BLOCK, BLOCK_BYTES = 512, 8_000_000
 
 _SEEDS = np.random.default_rng(23).integers(1, 2**63, TABLES, dtype=np.uint64)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -161,13 +166,76 @@ def shingle_counts(sets: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
-def rest_links(groups: DataFrame, met: DataFrame, sets: DataFrame, least: float, buckets: int = BUCKETS) -> DataFrame:
+def links_within(keys: np.ndarray, roots: np.ndarray, side: np.ndarray | None, sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """(a, b), a < b: links of similarity least or more between keys of different roots, and of different sides if given.
+
+    All of them up to four a key; beyond that only those that join what is not joined yet, which lead as far. What two sets
+    share is counted over an inverted index of all elements, so no pair is left out.
+    """
+    m = len(keys)
+    n = np.fromiter(map(len, sets), np.int64, m)
+    inverse, lengths = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    who = np.repeat(np.arange(m), n)[np.argsort(inverse, kind="stable")]
+    start, first = np.cumsum(lengths) - lengths, np.cumsum(n) - n
+    up = {r: r for r in roots.tolist()}
+    name = roots.tolist()
+
+    def find(r: int) -> int:
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    a: list[int] = []
+    b: list[int] = []
+    for i in range(m - 1):
+        lists = inverse[first[i] : first[i] + n[i]]
+        c = lengths[lists]
+        shared = np.bincount(who[np.repeat(start[lists] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))], minlength=m)[i + 1 :]
+        good = (shared >= least * (n[i + 1 :] + n[i] - shared) - 1e-9) & (roots[i + 1 :] != roots[i])
+        if side is not None:
+            good &= side[i + 1 :] != side[i]
+        for j in (np.flatnonzero(good) + i + 1).tolist():
+            x, y = find(name[i]), find(name[j])
+            if x != y or len(a) < 4 * m:
+                a.append(min(int(keys[i]), int(keys[j])))
+                b.append(max(int(keys[i]), int(keys[j])))
+                up[x] = y
+    return a, b
+
+
+def crowd_links(crowds: DataFrame, some: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between keys of different roots within each crowd (key, lead), the keys that lists of a shingle connect.
+
+    A crowd is dealt by hash into blocks, every two of which meet in one task with their sets (key, root, set): a row per key
+    and block of its crowd, and links that span the groups, however many pairs are alike.
+    """
+    of = components(crowds.select(F.col("key").alias("a"), F.col("lead").alias("b"))).select("node", F.col("root").alias("crowd"))
+    held = written(some.join(of, F.col("key") == F.col("node")).select("crowd", "key", "root", "set"))
+    sizes = held.groupBy(F.col("crowd").alias("s_crowd")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum(F.octet_length("set")) / BLOCK_BYTES)).cast("int").alias("n"))
+    own = held.join(sizes, F.col("crowd") == F.col("s_crowd")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = met.select("crowd", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "root", "set")
+
+    def run(t: pa.Table) -> pa.Table:
+        key, root, side = (t.column(c).to_numpy() for c in ("key", "root", "block"))
+        a, b = [], []
+        if (root != root[0]).any():
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("set").combine_chunks()]
+            a, b = links_within(key, root, None if t.column("lo")[0] == t.column("hi")[0] else side, sets, least)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return met.groupBy("crowd", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
+def rest_links(groups: DataFrame, met: DataFrame, sets: DataFrame, least: float, buckets: int = BUCKETS, most_list: int = MOST_LIST) -> DataFrame:
     """(a, b): every link that hub_links leaves out between keys of different groups (node, root) that share a fingerprint.
 
     Only fingerprints whose keys, the named two aside, lie in several groups can hide a link. Over the keys of these the join
     is exact: two sets of n and m elements that are least alike share one of the first n - ceil(least * n) + 1 of the one and of
     the first m - ceil(least * m) + 1 of the other, whatever the order. Elements go rare first, by counts of a fixed number
-    of buckets, so what many texts share is hardly ever among the first.
+    of buckets, so what many texts share is hardly ever among the first. Pairs are rows only where at most most_list keys
+    share an element, so their number is in proportion to the keys; the keys of longer lists go to crowd_links, which
+    compares them all and tells links that lead as far as all of theirs.
     """
     own = met.where((F.col("key") != F.col("one.key")) & (F.col("key") != F.col("two.key"))).select("fp", "key")
     own = own.join(groups, F.col("key") == F.col("node"), "left").select("fp", "key", F.coalesce("root", "key").alias("root"))
@@ -193,12 +261,19 @@ def rest_links(groups: DataFrame, met: DataFrame, sets: DataFrame, least: float,
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.hstack(held)], names=names)
 
     posts = written(some.mapInArrow(run, ", ".join(f"{c} long" for c in names)))
-    one, two = (posts.select(*[F.col(c).alias(f"{side}_{c}") for c in posts.columns]) for side in "ab")
+    lists = posts.groupBy(F.col("shingle").alias("l_shingle")).agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("x"), F.max("root").alias("y"), F.min("key").alias("lead"))
+    lists = written(lists.where("x <> y").select("l_shingle", "lead", (F.col("c") > most_list).alias("long")))  # others hide no link
+    short = posts.join(lists.where("not long"), F.col("shingle") == F.col("l_shingle"), "left_semi")
+    one, two = (short.select(*[F.col(c).alias(f"{side}_{c}") for c in posts.columns]) for side in "ab")
     ahead = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))  # the first shared element has all the others behind it
     enough = ahead * (1 + least) >= (F.col("a_n") + F.col("b_n")) * least - 1e-6
     other = (F.col("a_key") < F.col("b_key")) & (F.col("a_root") != F.col("b_root")) & near_size(F.col("a_n"), F.col("b_n"), least)
     pairs = one.join(two, (F.col("a_shingle") == F.col("b_shingle")) & other & enough).select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
-    return verified(pairs, sets, least)
+    found = verified(pairs, sets, least)
+    if not lists.where("long").limit(1).count():
+        return found
+    crowds = posts.join(lists.where("long"), F.col("shingle") == F.col("l_shingle")).select("key", "lead").distinct()
+    return found.unionByName(crowd_links(crowds, some, least)).distinct()
 
 
 def similar_groups(classes: DataFrame, docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:

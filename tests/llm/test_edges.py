@@ -446,3 +446,52 @@ def test_similar_finds_links_that_no_named_text_has(spark):
     for i, r in enumerate(roots):
         want.setdefault(r, set()).add(i)
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_similar_crowds_make_no_rows_by_pair(spark, monkeypatch):
+    """Many near copies, each link of which the named texts miss: every group is found, and pairs are no rows of a join."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(120)]
+    texts = []
+    for _ in range(150):  # one or two edits from the base: pairs lie on both sides of 0.8
+        own = list(base)
+        for k in rng.sample(range(120), rng.randrange(1, 3)):
+            own[k] = word() if rng.random() < 0.5 else "x"
+        texts.append(" ".join(own))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = similar.set_rows(table, "doc_id", "text", 5).withColumnRenamed("doc_id", "rep")
+    classes = similar.written(rows.dropDuplicates(["key"]).withColumn("fps", F.expr("array(7L)")))
+    _, met, sets = similar.hub_links(classes, table, 0.8, "doc_id", "text", 5)
+    none = spark.createDataFrame([], "node long, root long")
+    hubs = {r.key for r in met.select(F.explode(F.array("one.key", "two.key")).alias("key")).collect()}
+    seen = []
+    plain = similar.verified
+    monkeypatch.setattr(similar, "verified", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
+    crowd = similar.crowd_links
+    monkeypatch.setattr(similar, "crowd_links", lambda *a: crowd(*a, block=40))  # several blocks
+    links = [tuple(r) for r in similar.rest_links(none, met, sets, 0.8).collect()]
+    held = {r.key: np.frombuffer(r.set, np.uint64) for r in sets.collect() if r.key not in hubs}
+    alike = lambda a, b: (n := len(np.intersect1d(held[a], held[b]))) >= 0.8 * (len(held[a]) + len(held[b]) - n) - 1e-9
+    edges = [(a, b) for a in held for b in held if a < b and alike(a, b)]
+    assert len(edges) > len(held) and set(links) <= set(edges) and sum(seen) <= 8 * len(held)
+
+    def roots(pairs):
+        up = {k: k for k in held}
+        for a, b in pairs:
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            up[max(a, b)] = min(a, b)
+        out = {}
+        for k in held:
+            r = k
+            while up[r] != r:
+                r = up[r]
+            out[k] = r
+        return out
+
+    assert roots(links) == roots(edges)
+    a, b = similar.links_within(np.array(sorted(held)), np.array(sorted(held)), None, [held[k] for k in sorted(held)], 0.8)
+    assert len(a) < len(edges) + 1 and roots(zip(a, b, strict=True)) == roots(edges)
