@@ -495,3 +495,10 @@ def test_similar_crowds_make_no_rows_by_pair(spark, monkeypatch):
     assert roots(links) == roots(edges)
     a, b = similar.links_within(np.array(sorted(held)), np.array(sorted(held)), None, [held[k] for k in sorted(held)], 0.8)
     assert len(a) < len(edges) + 1 and roots(zip(a, b, strict=True)) == roots(edges)
+
+
+def test_lm_trains_on_every_window_as_shipped():
+    """No window is left out, and rows become bytes unchanged."""
+    assert lm.ONE_IN == 1
+    rows = np.random.default_rng(0).integers(0, 2000, (7, 56)).astype(np.int16)
+    assert lm.binaries(rows).to_pylist() == [r.tobytes() for r in rows] and len(lm.binaries(rows[:0])) == 0
