@@ -502,3 +502,36 @@ def test_lm_trains_on_every_window_as_shipped():
     assert lm.ONE_IN == 1
     rows = np.random.default_rng(0).integers(0, 2000, (7, 56)).astype(np.int16)
     assert lm.binaries(rows).to_pylist() == [r.tobytes() for r in rows] and len(lm.binaries(rows[:0])) == 0
+
+
+def test_components_take_few_jobs_and_match_brute_force(spark):
+    """Edges that a task holds are contracted there, so few edges take few jobs; dealt over tasks they lead as far."""
+    from slidelake.llm import components
+
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(200)] + [(rng.randrange(-400, 0), rng.randrange(-400, 0)) for _ in range(250)] + [(-1000, k) for k in range(1000, 1060)] + [(5000, 5000)]
+    up = {x: x for e in edges if e[0] != e[1] for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    want = {x: root(x) for x in up}
+    table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    spark.sparkContext.setJobGroup("few edges", "")
+    few = components.components(table).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges"))
+    spark.sparkContext.setJobGroup("", "")
+    assert len(few) == len(want) and {r.node: r.root for r in few} == want
+    assert jobs <= 20
+    assert not components.settled(table) and components.settled(spark.createDataFrame([(3, 1), (2, 1), (5, 4)], "a long, b long"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = components.components(table).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(dealt) == len(want) and {r.node: r.root for r in dealt} == want
