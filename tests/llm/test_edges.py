@@ -535,3 +535,15 @@ def test_components_take_few_jobs_and_match_brute_force(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(dealt) == len(want) and {r.node: r.root for r in dealt} == want
+
+
+def test_windows_are_dealt_in_one_row_for_each_learner():
+    """A row holds all of a run's windows for a learner; their order in training does not depend on how they were parted."""
+    rng = np.random.default_rng(2)
+    rows = rng.integers(-1, 5, (3000, 56)).astype(np.int16)
+    who = rng.integers(0, 7, len(rows))
+    parts = [lm.dealt(who[k], rows[k]) for k in (slice(0, 900), slice(900, 900), slice(900, 3000))]
+    assert [len(names) for names, _ in parts] == [7, 0, 7]
+    for learner in range(7):
+        held = pa.chunked_array([[xy[list(names).index(learner)].as_py() for names, xy in parts if learner in names]], pa.binary())
+        assert lm.in_order(held, 56).tobytes() == b"".join(sorted(r.tobytes() for r in rows[who == learner]))
