@@ -547,3 +547,33 @@ def test_windows_are_dealt_in_one_row_for_each_learner():
     for learner in range(7):
         held = pa.chunked_array([[xy[list(names).index(learner)].as_py() for names, xy in parts if learner in names]], pa.binary())
         assert lm.in_order(held, 56).tobytes() == b"".join(sorted(r.tobytes() for r in rows[who == learner]))
+
+
+def test_lm_graphs_give_the_same_sums_as_numpy():
+    """Training and scoring by graphs, padded windows and steep scores included; all the windows' targets count."""
+    from slidelake.llm import graph
+
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 40, 3000)
+    pairs = np.stack([ids[:-1], ids[1:], np.ones(2999, np.int64)], axis=1)
+    t = lm.tables_of(pairs, np.bincount(ids, minlength=50).astype(float), 3, n_places=30, n_classes=16)
+    x, y, _, padded = lm.windows_of(t.place[ids], np.array([0, 2000, 1, 999]), t.end, t.pad)
+    w = lm.first_weights(len(t.kind), t.outer.shape[1])
+    a, b = (lm.train(w, t, x, y, steps=30, native=k) for k in (False, True))
+    assert all(np.abs(a[k] - w[k]).max() > 0.01 and a[k] == pytest.approx(b[k], abs=2e-3) for k in w)
+    for scale in (1, 30):
+        steep = {k: v * np.float32(scale) for k, v in a.items()}
+        run = lm.scorer_of(steep, t)
+        assert run is not None and graph.PARTS > 1
+        want, got = lm.score_windows(steep, t, x, y, padded), lm.score_windows(steep, t, x, y, padded, run=run)
+        assert np.isfinite(got).all() and got[y >= 0] == pytest.approx(want[y >= 0], rel=1e-4, abs=1e-4)
+
+
+def test_words_are_encoded_in_bulk_as_one_by_one():
+    """White space beyond the six characters stays inside words."""
+    tok = lm.Tokenizer(open(lm.TOKENIZER, "rb").read())
+    words = [w.encode() for w in ("the", "a b", " ", "x\x1cy", "naïve", "日本語", "...", "the", "a" * 300)]
+    for some in (words, words[:1], []):
+        flat, size = tok.flat_ids(some)
+        assert np.split(flat, np.cumsum(size))[:-1] == [] if not some else [p.tolist() for p in np.split(flat, np.cumsum(size)[:-1])] == [tok.ids(w) for w in some]
+    assert lm.pieces(pa.array(words, pa.binary()).slice(2, 4)) == words[2:6] and lm.pieces(pa.array([], pa.binary())) == []
